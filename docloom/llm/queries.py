@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, sharding, toxicity, warc
+from . import chat, decontam, langid, maintext, sharding, toxicity, warc
 from .common import table
 
 
@@ -16,9 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat": lambda s, d: chat.render(table(s, d, "conversations")),
         "op6_langid": lambda s, d: langid.documents_languages(table(s, d, "documents")),
         "op7_toxicity": lambda s, d: toxicity.documents_toxicity(table(s, d, "documents"), table(s, d, "labels")),
+        "op8_maintext": lambda s, d: maintext.pages_text(table(s, d, "pages")),
+        "op9_decontam": lambda s, d: decontam.documents_overlaps(table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_sharding": lambda s, d: sharding.documents_shards(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op9_decontam": decontam.ORACLE}
