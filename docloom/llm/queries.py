@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, maintext, minhash, packing, sharding, toxicity, warc
+from . import chat, decontam, langid, maintext, media, minhash, packing, sharding, toxicity, warc
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": lambda s, d: packing.documents_packed(table(s, d, "documents")),
+        "op2_media": lambda s, d: media.documents_media(table(s, d, "documents")),
         "op3_minhash": lambda s, d: minhash.documents_classes(table(s, d, "documents")),
         "op4_warc": lambda s, d: warc.pages_archive(table(s, d, "pages")),
         "op5_chat": lambda s, d: chat.render(table(s, d, "conversations")),
