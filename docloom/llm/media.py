@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, fresh_path, prepare
+from .common import free_name, fresh_path, materialise, prepare
 
 WIDTH, LEVEL = 64, 1
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -252,6 +252,7 @@ def documents_media(docs: DataFrame) -> DataFrame:
     store_texts(docs, path)
     pages = spark.read.parquet(path).select(F.col("key").alias("doc_id"), "n_bytes", "page")
     shown = references(with_items(pages, "page"))
-    return shown.join(read_media(spark, path), "digest", "left").select(
+    facts = materialise(read_media(spark, path))  # apart, so that the join may split a digest that many documents share
+    return shown.join(facts, "digest", "left").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
     )
