@@ -11,8 +11,11 @@ class is a connected component of links, and copies of one text are one node of
    rounds. So a bucket of m members makes m pairs a round, not m * m.
 3. Links make components. Buckets that still hold several components may hide a link between two
    members that were never compared. Their members go through an exact prefix-filtered join instead:
-   each emits its rarest n - ceil(0.8 n) + 1 shingles, as linked texts must share one of these; only
-   shingles that join different components, and sizes that allow a similarity of 0.8, make pairs.
+   each probes with its rarest n - ceil(0.8 n) + 1 shingles, and is indexed under its rarest
+   n - ceil(8 n / 9) + 1, as of linked texts the smaller one's index and the larger one's probes must
+   meet. Shingles that join different components, sizes that allow a similarity of 0.8, and places that
+   leave enough shingles to share make the pairs. A passage that many texts share is common, so it
+   stands behind a text's own shingles, and is in an index only where there is little else.
 4. Components of all links are the classes; a class is named by its smallest document id.
 
 Nothing is collected but counts and checksums. Every loop writes its tables to the shared folder.
@@ -196,11 +199,17 @@ def open_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, similari
     count = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(W.partitionBy("node").orderBy("df", "token"))
     prefix = rows.join(count.where("df > 1"), "token", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("i", place)
-    prefix = materialise(prefix.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1).where("df > 1").select("node", "component", "n", "token"))
+    ceil = lambda share: F.ceil(F.col("n") * F.lit(share) - 1e-9)
+    prefix = materialise(prefix.where((F.col("i") <= F.col("n") - ceil(similarity) + 1) & (F.col("df") > 1)).select("node", "component", "n", "i", "token"))
     shared = prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     left = prefix.join(shared, "token", "left_semi")
-    right = left.select(F.col("node").alias("b"), F.col("component").alias("c"), F.col("n").alias("n_b"), "token")
-    pairs = left.join(right, "token").where((F.col("component") < F.col("c")) & (F.least("n", "n_b") >= similarity * F.greatest("n", "n_b")))
+    both = 2 * similarity / (1 + similarity)
+    index = left.where(F.col("i") <= F.col("n") - ceil(both) + 1)
+    right = index.select(F.col("node").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("i").alias("j"), "token")
+    smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") < F.col("node")))
+    needed = F.ceil((F.col("n") + F.col("m")) * F.lit(both / 2) - 1e-9)
+    room = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= needed
+    pairs = left.join(right, (left.token == right.token) & smaller & (F.col("component") != F.col("c")) & (F.col("m") >= F.col("n") * F.lit(similarity) - 1e-9) & room)
     return pairs.select(F.col("node").alias("a"), "b").distinct()
 
 
@@ -209,7 +218,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     prepare(docs.sparkSession)
     table = materialise(signed(docs, key, text, bands, rows, seed))
     all_members = table.where("buckets is not null").select("node", F.explode("buckets").alias("bucket"))
-    led = materialise(elected(all_members).distinct())
+    led = materialise(materialise(elected(all_members)).distinct())  # apart, so that a large bucket is split before it is deduplicated
     leaders = led.select("bucket", F.col("leader").alias("node")).distinct()
     members = led.select("bucket", "node").unionAll(leaders)
     sets = materialise(sets_of(docs, text, members.select("node").distinct()))
