@@ -38,7 +38,8 @@ from .common import free_name, hashed_texts, materialise, mix, prepare, shingles
 from .dart import signatures
 
 SHINGLE, SIMILARITY, BANDS, ROWS, ROUNDS, SEED = 5, 0.8, 36, 6, 2, 3
-_LEAST_BATCH = 200_000
+#: Elements (400 at least for each text) that are signed at once: their darts take some 10 MB an array.
+MOST_ELEMENTS = 40_000
 
 
 def shingle_set(word_hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
@@ -93,10 +94,10 @@ def signed(docs: DataFrame, key: str, text: str, bands: int, rows: int, seed: in
                     s = shingle_set(h[bounds[j] : bounds[j + 1]])
                     if len(s):
                         held.append((fresh[first + j], s))
-                        size += len(s)
-                if size > _LEAST_BATCH:
-                    sign()
-                    size = 0
+                        size += max(len(s), 400)
+                    if size > MOST_ELEMENTS:
+                        sign()
+                        size = 0
             sign()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["key", "node", "buckets"])
 
