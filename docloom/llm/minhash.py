@@ -6,8 +6,8 @@ class is a connected component of links, and copies of one text are one node of
 1. Every text gets a DartMinHash signature of BANDS * ROWS coordinates (weights of 1 by default; any
    column of weights would do), and a bucket for each band. At a similarity of 0.8 a pair shares no
    bucket with a probability of 2e-5.
-2. Every bucket elects a leader, by a hash that differs from bucket to bucket, and its members are
-   verified against it by their exact sets. Members that differ elect another leader, for ROUNDS
+2. Every bucket elects a leader, the member with the least hash, and its members are verified against
+   it by their exact sets. Members that differ elect another leader, for ROUNDS
    rounds. So a bucket of m members makes m pairs a round, not m * m.
 3. Links make components. Buckets that still hold several components may hide a link between two
    members that were never compared. Their members go through an exact prefix-filtered join instead:
@@ -66,7 +66,7 @@ def _texts(batch, at, seen):
 
 
 def signed(docs: DataFrame, key: str, text: str, bands: int, rows: int, seed: int) -> DataFrame:
-    """key, node (a 128-bit digest of the text), buckets: null for texts without words and where the task met the text before."""
+    """key, node (a 128-bit digest of the text), n (its shingles), buckets: the last two null for texts without words and where the task met the text before."""
 
     def run(batches):
         seen: set[bytes] = set()
@@ -78,6 +78,7 @@ def signed(docs: DataFrame, key: str, text: str, bands: int, rows: int, seed: in
                     fresh.append(i)
                     texts.append(t)
             buckets: list = [None] * len(nodes)
+            sizes: list = [None] * len(nodes)
             held: list[tuple[int, np.ndarray]] = []
 
             def sign():
@@ -94,15 +95,16 @@ def signed(docs: DataFrame, key: str, text: str, bands: int, rows: int, seed: in
                     s = shingle_set(h[bounds[j] : bounds[j + 1]])
                     if len(s):
                         held.append((fresh[first + j], s))
+                        sizes[fresh[first + j]] = len(s)
                         size += max(len(s), 400)
                     if size > MOST_ELEMENTS:
                         sign()
                         size = 0
             sign()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["key", "node", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(buckets, pa.list_(pa.int64()))], names=["key", "node", "n", "buckets"])
 
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, f"key {dict(slim.dtypes)['key']}, node binary, buckets array<long>")
+    return slim.mapInArrow(run, f"key {dict(slim.dtypes)['key']}, node binary, n int, buckets array<long>")
 
 
 def sets_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
@@ -129,18 +131,26 @@ def sets_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
 
 
 def elected(members: DataFrame) -> DataFrame:
-    """(bucket, node) rows of buckets with several nodes, each with its bucket's leader; leaders are left out."""
-    order = F.struct(F.xxhash64("bucket", "node").alias("h"), "node")
-    chosen = members.groupBy("bucket").agg(F.min(order).alias("a"), F.max(order).alias("z")).where("a.node <> z.node").select("bucket", F.col("a.node").alias("leader"))
+    """The (bucket, node, n) rows of buckets with several nodes, each with its bucket's leader and leader_n;
+    leaders themselves are left out. The order of candidates is the same in all buckets, so that groups
+    that share many buckets mostly share a leader too."""
+    order = F.struct(F.xxhash64("node").alias("h"), "node", "n")
+    chosen = members.groupBy("bucket").agg(F.min(order).alias("a"), F.max(order).alias("z")).where("a.node <> z.node")
+    # settled apart, so that the join may split a bucket that many texts share
+    chosen = materialise(chosen.select("bucket", F.col("a.node").alias("leader"), F.col("a.n").alias("leader_n")))
     return members.join(chosen, "bucket").where("node <> leader")
 
 
+def led_pairs(led: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of leaders and members whose sizes allow the similarity (sets of 32-bit hashes may be a little smaller)."""
+    return led.where(F.least("n", "leader_n") + 2 >= similarity * F.greatest("n", "leader_n")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
-    mine = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
-    other = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-    sized = pairs.join(mine.drop("t_a"), "a").join(other.drop("t_b"), "b").where((F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))).select("a", "b")
-    both = sized.join(mine, "a").join(other, "b").select("a", "b", "t_a", "t_b")
+    mine = sets.select(F.col("node").alias("a"), F.col("tokens").alias("t_a"))
+    other = sets.select(F.col("node").alias("b"), F.col("tokens").alias("t_b"))
+    both = pairs.join(mine, "a").join(other, "b").select("a", "b", "t_a", "t_b")
 
     def run(batches):
         for batch in batches:
@@ -164,9 +174,10 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(edges)
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large)
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         edges = materialise(small)
@@ -174,7 +185,7 @@ def components(links: DataFrame) -> DataFrame:
         if before == state:
             break
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+    return materialise(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots))
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -184,8 +195,9 @@ def _state(edges: DataFrame) -> tuple:
 def open_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) that may be linked, of different components that share a bucket, by exact prefix filtering."""
     named = members.join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    named = materialise(named)
     mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    nodes = named.join(mixed, "bucket", "left_semi").select("node", "component").distinct()
+    nodes = named.join(materialise(mixed), "bucket", "left_semi").select("node", "component").distinct()
 
     def explode(batches):
         for batch in batches:
@@ -197,12 +209,13 @@ def open_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, similari
 
     rows = sets.join(nodes, "node").select("node", "component", "tokens").mapInArrow(explode, "node binary, component binary, n int, token long")
     rows = materialise(rows)
-    count = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    count = materialise(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     place = F.row_number().over(W.partitionBy("node").orderBy("df", "token"))
-    prefix = rows.join(count.where("df > 1"), "token", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("i", place)
+    prefix = rows.join(count, "token", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("i", place)
     ceil = lambda share: F.ceil(F.col("n") * F.lit(share) - 1e-9)
     prefix = materialise(prefix.where((F.col("i") <= F.col("n") - ceil(similarity) + 1) & (F.col("df") > 1)).select("node", "component", "n", "i", "token"))
     shared = prefix.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    shared = materialise(shared)
     left = prefix.join(shared, "token", "left_semi")
     both = 2 * similarity / (1 + similarity)
     index = left.where(F.col("i") <= F.col("n") - ceil(both) + 1)
@@ -218,30 +231,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """key, node (the text's digest) and class (a node that names the class) of every row of docs."""
     prepare(docs.sparkSession)
     table = materialise(signed(docs, key, text, bands, rows, seed))
-    all_members = table.where("buckets is not null").select("node", F.explode("buckets").alias("bucket"))
+    all_members = table.where("buckets is not null").select("node", "n", F.explode("buckets").alias("bucket"))
     led = materialise(materialise(elected(all_members)).distinct())  # apart, so that a large bucket is split before it is deduplicated
     leaders = led.select("bucket", F.col("leader").alias("node")).distinct()
     members = led.select("bucket", "node").unionAll(leaders)
     sets = materialise(sets_of(docs, text, members.select("node").distinct()))
     links = None
     for i in range(rounds):
-        found = materialise(verified(led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity))
+        found = materialise(verified(led_pairs(led, similarity), sets, similarity))
         links = found if links is None else links.unionAll(found)
         if i + 1 < rounds:
             failed = led.join(found.select(F.col("a").alias("leader"), F.col("b").alias("node")), ["leader", "node"], "left_anti")
-            led = materialise(elected(failed.select("bucket", "node")))
-    classes = materialise(components(links))
+            led = materialise(elected(failed.select("bucket", "node", "n")))
+    classes = components(links)
     rest = materialise(verified(open_pairs(members, classes, sets, similarity), sets, similarity))
     if not rest.isEmpty():
         star = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        classes = materialise(components(star.unionAll(rest)))
+        classes = components(star.unionAll(rest))
     return table.select("key", "node").join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
 
 
 def documents_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the document's class) for every document."""
-    found = near_duplicates(docs)
-    least = found.groupBy("class").agg(F.min("key").alias("class_id"))
+    found = materialise(near_duplicates(docs))
+    least = materialise(found.groupBy("class").agg(F.min("key").alias("class_id")))
     return found.join(least, "class").select(F.col("key").alias("doc_id"), "class_id")
 
 
