@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +15,18 @@ PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df computed once, in spark.checkpoint.dir (a temporary folder where the cluster names none)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not named:
-            named = tempfile.mkdtemp(prefix="docloom-checkpoint-")
-            atexit.register(shutil.rmtree, named, True)
-        sc.setCheckpointDir(named)
-    return df.checkpoint()
+    """df computed once and written to spark.checkpoint.dir (a temporary folder where the cluster names none):
+    cuts the lineage, and a lost executor loses nothing of it."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_docloom_settled", None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="docloom-settled-")
+        atexit.register(shutil.rmtree, named, True)
+        sc._docloom_settled = named
+    path = f"{named.rstrip('/')}/docloom-settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
