@@ -22,7 +22,7 @@ PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 #: Rows and bytes of one Arrow batch, so that a Python worker holds a few MB of texts at a time.
 BATCH_ROWS, BATCH_BYTES = "1000", "16m"
 #: Bytes (or code points) of text that are worked on as one numpy array.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def prepare(spark: SparkSession) -> None:
