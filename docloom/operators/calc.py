@@ -141,26 +141,28 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
 
 def calculate(docs: DocumentSet) -> Calculation:
     """Results of all documents of the set."""
-    all_edges = settle(edges_of(docs))
+    all_edges = edges_of(docs)
     cells = docs.cells
-    numbers = cells.where("kind = 'number'").select(*KEY, "kind", F.when(is_finite(F.col("num")), good(F.col("num"))).otherwise(bad(NOT_FINITE, F.col("entity"), F.col("field"))).alias("result"))
-    formulas = cells.where("kind = 'formula'").select(*KEY, "expr")
-    start = _leaves(docs, numbers.select("doc", F.col("entity").alias("dep_entity"), F.col("field").alias("dep_field"), "result"))
-    exists = cells.where("kind = 'formula'").select("doc", F.col("entity").alias("dep_entity"), F.col("field").alias("dep_field"), F.lit(True).alias("formula"))
-    known = all_edges.join(start, ["doc", "dep_entity", "dep_field"], "left").join(exists, ["doc", "dep_entity", "dep_field"], "left")
-    gone = F.when(F.col("formula").isNull(), bad(MISSING, F.col("dep_entity"), F.col("dep_field")))
-    told = settle(known.select(*KEY, "dep_entity", "dep_field", F.coalesce("result", gone).alias("result")))
-    results = numbers
-    pending = settle(formulas)
+    finite = F.when(is_finite(F.col("num")), good(F.col("num"))).otherwise(bad(NOT_FINITE, F.col("entity"), F.col("field")))
+    results = cells.where("kind = 'number'").select(*KEY, "kind", finite.alias("result"))
+    pending = cells.where("kind = 'formula'").select(*KEY, "expr")
+    # what is known of a cell from the start; null for a formula
+    known = cells.select("doc", F.col("entity").alias("dep_entity"), F.col("field").alias("dep_field"), F.lit(True).alias("there"), F.when(F.col("kind") == "number", finite).when(F.col("kind") != "formula", bad(NOT_NUMERIC, F.col("entity"), F.col("field"))).alias("result"))
+    gone = F.when(F.col("there").isNull(), bad(MISSING, F.col("dep_entity"), F.col("dep_field")))
+    told = settle(all_edges.join(known, ["doc", "dep_entity", "dep_field"], "left").select(*KEY, "dep_entity", "dep_field", F.coalesce("result", gone).alias("result")))
+    entry = F.struct(F.struct(F.col("dep_entity").alias("e"), F.col("dep_field").alias("f")).alias("k"), "result")
     while True:
-        per = told.groupBy(*KEY).agg(F.count_if(F.col("result").isNull()).alias("open"), F.map_from_entries(F.collect_list(F.struct(F.struct(F.col("dep_entity").alias("e"), F.col("dep_field").alias("f")).alias("k"), "result"))).alias("found"))
-        joined = pending.join(per, KEY, "left")
-        ready = joined.where("coalesce(open, 0) = 0")
-        fresh = settle(ready.select(*KEY, F.lit("formula").alias("kind"), run_postfix(F.col("expr"), F.col("found"), F.col("entity"), F.col("field")).alias("result")))
+        per = told.groupBy(*KEY).agg(F.count_if(F.col("result").isNull()).alias("open"), F.map_from_entries(F.collect_list(entry)).alias("found"))
+        ready = F.coalesce("open", F.lit(0)) == 0
+        # evaluation costs more than its bytes suggest, so formulas are dealt out by key, as the aggregate is
+        step = settle(pending.repartition(*KEY).join(per, KEY, "left").select(*KEY, "expr", ready.alias("ready"), F.when(ready, run_postfix(F.col("expr"), F.col("found"), F.col("entity"), F.col("field"))).alias("result")))
+        fresh = step.where("ready").select(*KEY, F.lit("formula").alias("kind"), "result")
+        pending = step.where("not ready").select(*KEY, "expr")
         if fresh.isEmpty():
             break
         results = results.unionAll(fresh)
-        pending = settle(pending.join(fresh.select(*KEY), KEY, "left_anti"))
+        if pending.isEmpty():
+            break
         new = fresh.select("doc", F.col("entity").alias("dep_entity"), F.col("field").alias("dep_field"), F.col("result").alias("new"))
         told = settle(told.join(pending.select(*KEY), KEY, "left_semi").join(new, ["doc", "dep_entity", "dep_field"], "left").select(*KEY, "dep_entity", "dep_field", F.coalesce("result", "new").alias("result")))
     return Calculation(docs, all_edges, results, pending)
