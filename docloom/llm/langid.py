@@ -51,17 +51,19 @@ def gram_buckets(points: np.ndarray, starts: int) -> list[np.ndarray]:
     return out
 
 
-def segments(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text numbers, where each starts, code points through letter_table) of runs of about CHUNK code points."""
+def segments(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+    """(text numbers, where each starts, places that n-grams may start at, code points through letter_table)
+    of runs of about CHUNK code points; pieces of longer texts run on into the next piece."""
     table_ = letter_table()
     held: list[tuple[int, str]] = []
     size = 0
+    tail = " " * (ORDERS[-1] - 1)  # so that an n-gram of any length starts at every place
 
     def flush():
         ids = np.array([i for i, _ in held])
         joined = "".join(f" {t} " for _, t in held)
         lengths = np.array([len(t) + 2 for _, t in held])
-        return ids, np.concatenate([[0], np.cumsum(lengths)[:-1]]), through(table_, code_points(joined))
+        return ids, np.concatenate([[0], np.cumsum(lengths)[:-1]]), len(joined), through(table_, code_points(joined + tail))
 
     for i, t in enumerate(texts):
         t = t or ""
@@ -74,7 +76,8 @@ def segments(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray,
         else:
             whole = f" {t} "
             for a in range(0, len(whole), CHUNK):
-                yield np.array([i]), np.array([a]), through(table_, code_points(whole[a : a + CHUNK + ORDERS[-1] - 1]))
+                piece = whole[a : a + CHUNK + len(tail)]
+                yield np.array([i]), np.array([0]), min(CHUNK, len(whole) - a), through(table_, code_points(piece + tail))
     if held:
         yield flush()
 
@@ -91,16 +94,13 @@ class LanguageModel:
         """The best language of each text and its posterior probability."""
         n, k = len(texts), len(self.languages)
         total, grams = np.zeros((n, k)), np.zeros(n, np.int64)
-        for ids, starts, points in segments(texts):
-            alone = len(ids) == 1 and len(points) >= CHUNK
-            limit = min(len(points), CHUNK) if alone else len(points)
-            at = np.array([0]) if alone else starts
+        for ids, starts, limit, points in segments(texts):
             for b in gram_buckets(points, limit):
                 keep = b >= 0
-                grams[ids] += np.add.reduceat(keep, at) if len(b) else 0
+                grams[ids] += np.add.reduceat(keep, starts, dtype=np.int64)
                 b = np.where(keep, b, BUCKETS)
                 for j in range(k):
-                    total[ids, j] += np.add.reduceat(self.log_probs[j][b], at)
+                    total[ids, j] += np.add.reduceat(self.log_probs[j][b], starts, dtype=np.float64)
         if not k:
             return [UND] * n, np.zeros(n)
         total += self.log_priors
@@ -129,8 +129,8 @@ def fit(labelled: DataFrame, text: str, lang: str, key: str, rows_per_language:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name in set(names):
                 counts = held.setdefault(number[name], np.zeros(BUCKETS, np.int64))
-                for _, _, points in segments([t for t, x in zip(texts, names, strict=True) if x == name]):
-                    for b in gram_buckets(points, CHUNK if len(points) >= CHUNK else len(points)):
+                for _, _, limit, points in segments([t for t, x in zip(texts, names, strict=True) if x == name]):
+                    for b in gram_buckets(points, limit):
                         counts += np.bincount(b[b >= 0], minlength=BUCKETS)
         for i, counts in held.items():
             used = np.flatnonzero(counts)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from conftest import prose
 from pyspark.sql import functions as F
@@ -49,11 +50,16 @@ def test_languages_of_odd_rows(odd, odd_rows, none):
 
 def test_long_texts_are_scored_in_overlapping_pieces(monkeypatch):
     text = prose(random.Random(1), 3000)
-    whole = [g for _, _, p in langid.segments([text]) for g in langid.gram_buckets(p, len(p))]
-    monkeypatch.setattr(langid, "CHUNK", 1000)
-    pieces = [langid.gram_buckets(p, min(len(p), 1000)) for _, _, p in langid.segments([text])]
-    for n in range(3):
-        assert sorted(b for g in pieces for b in g[n].tolist() if b >= 0) == sorted(b for b in whole[n].tolist() if b >= 0)
+    whole = [g for _, _, n, p in langid.segments([text]) for g in langid.gram_buckets(p, n)]
+    model = langid.LanguageModel(["a", "b"], np.random.default_rng(0).normal(-9, 1e-3, (2, langid.BUCKETS + 1)).astype(np.float32), np.zeros(2))
+    want = model.score([text, "short", None])
+    for chunk in (1000, 997, len(text) + 1, len(text) + 2, len(text)):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        pieces = [langid.gram_buckets(p, n) for _, _, n, p in langid.segments([text])]
+        for n in range(3):
+            assert sorted(b for g in pieces if len(g) > n for b in g[n].tolist() if b >= 0) == sorted(b for b in whole[n].tolist() if b >= 0)
+        got = model.score([text, "short", None])
+        assert got[0] == want[0] and np.allclose(got[1], want[1], atol=1e-3)
 
 
 BAD = ["vilan", "grobo", "nasty"]
