@@ -6,9 +6,10 @@ weight; phrases that excuse a word take its weight back. A text's strength is th
 weights over log2(2 + words), and a logistic curve makes it a score.
 
 The lexicon is learned: of a bounded sample of labelled rows each task counts, by label, in how many
-texts a word or beginning of a word occurs; those that a likelihood-ratio test finds tied to toxic
-rows, and that are rare elsewhere, become patterns weighted by their log-odds. At most
-max_patterns reach the driver.
+texts a word or beginning of a word occurs, and after which words; those that a likelihood-ratio test
+finds tied to toxic rows, and that are rare elsewhere, become patterns weighted by their log-odds. A
+pattern counts as often as it has different contexts, so that copies of one toxic text do not make its
+other words toxic. At most max_patterns reach the driver.
 
 Defined results: null is scored as an empty text; an empty text scores as any text without matches.
 Without labelled rows of both classes, every score is 0. Rows that repeat are scored each.
@@ -17,6 +18,7 @@ Without labelled rows of both classes, every score is 0. Rows that repeat are sc
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -33,7 +35,9 @@ BEGINNINGS = (4, 5, 6, 7)
 LONGEST_WORD = 40
 #: Phrases in which a word of the lexicon is meant innocently.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clown school", "scum of the pond", "pond scum", "loser bracket")
-ROWS_PER_CLASS, MAX_PATTERNS, LEAST_G, LEAST_PRECISION = 4000, 4000, 20.0, 0.9
+ROWS_PER_CLASS, MAX_PATTERNS, LEAST_G, LEAST_PRECISION = 4000, 4000, 20.0, 0.97
+#: Places for the words that stand before a pattern.
+CONTEXTS = 63
 
 
 @dataclass
@@ -98,14 +102,23 @@ def _pieces(text: str):
     yield text[at:]
 
 
-def candidates(text: str | None) -> set[str]:
-    """The patterns that a text holds: its words and their beginnings."""
-    words = set()
+def candidates(text: str | None) -> dict[str, int]:
+    """The patterns that a text holds, its words and their beginnings, each with its contexts: a bit of
+    CONTEXTS for each word that stands before it."""
+    words: dict[str, int] = {}
+    before = ""
     for piece in _pieces(text or ""):
-        words.update(fold(piece).split())
-    out = {f" {w} " for w in words if 3 <= len(w) <= LONGEST_WORD}
-    for n in BEGINNINGS:
-        out.update(f" {w[:n]}" for w in words if len(w) >= n)
+        for w in fold(piece).split():
+            words[w] = words.get(w, 0) | 1 << zlib.crc32(before.encode()) % CONTEXTS
+            before = w
+    out: dict[str, int] = {}
+    for w, contexts in words.items():
+        if 3 <= len(w) <= LONGEST_WORD:
+            out[f" {w} "] = contexts
+        for n in BEGINNINGS:
+            if len(w) >= n:
+                p = f" {w[:n]}"
+                out[p] = out.get(p, 0) | contexts
     return out
 
 
@@ -132,13 +145,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def count(batches):
         seen: list[Counter] = [Counter(), Counter()]
+        contexts: dict[str, int] = {}
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update(candidates(t))
+                found = candidates(t)
+                seen[y].update(found.keys())
+                if y:
+                    for p, c in found.items():
+                        contexts[p] = contexts.get(p, 0) | c
         names = [*seen[1], *(p for p in seen[0] if p not in seen[1])]
         for a in range(0, len(names), 50_000):
             part = names[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([seen[1][p] for p in part], pa.int64()), pa.array([seen[0][p] for p in part], pa.int64())], names=["p", "pos", "neg"])
+            columns = [[seen[1][p] for p in part], [seen[0][p] for p in part], [contexts.get(p, 0) for p in part]]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(c, pa.int64()) for c in columns)], names=["p", "pos", "neg", "contexts"])
 
     pos_n, neg_n = float(sizes[1]), float(sizes[0])
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
@@ -148,9 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return F.when(seen > 0, seen * F.log(seen / (rate * all_))).otherwise(0.0)
 
     g = 2 * (term(pos, pos_n, share) + term(neg, neg_n, share) + term(pos_n - pos, pos_n, 1 - share) + term(neg_n - neg, neg_n, 1 - share))
+    # copies of a text repeat their contexts, and so count as about one text
+    bits = F.bit_count("contexts")
+    apart = F.when(bits < CONTEXTS - 8, F.least(F.col("pos"), -1.5 * CONTEXTS * F.log(1 - bits / CONTEXTS))).otherwise(F.col("pos"))
     found = (
-        rows.mapInArrow(count, "p string, pos long, neg long").groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .where((pos >= 3) & ((pos / pos_n) >= LEAST_PRECISION * ((pos / pos_n) + (neg / neg_n))))
+        rows.mapInArrow(count, "p string, pos long, neg long, contexts long").groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.bit_or("contexts").alias("contexts"))
+        .withColumn("pos", apart.cast("double")).where((pos >= 3) & ((pos / pos_n) >= LEAST_PRECISION * ((pos / pos_n) + (neg / neg_n))))
         .select("p", g.alias("g"), F.log(((pos + 0.5) / (pos_n + 1)) / ((neg + 0.5) / (neg_n + 1))).alias("w"))
         .where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), F.desc(F.length("p")), "p").limit(max_patterns).collect()
     )
@@ -178,7 +200,7 @@ def _prune(weights: dict[str, float]) -> dict[str, float]:
     return out
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 0.02, rounds: int = 50) -> tuple[float, float]:
+def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 0.002, rounds: int = 50) -> tuple[float, float]:
     """Slope and bias of a logistic curve; classes weigh the same."""
     w = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * len(y)
     a = np.stack([x, np.ones_like(x)], 1)
