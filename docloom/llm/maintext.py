@@ -1,12 +1,13 @@
 """Main text of web pages by the line-block distribution.
 
 Markup is stripped into lines, one per block element. Lines of elements that are page furniture by
-their tag, role or class (menus, page headers, footers, sidebars, notices, adverts, forms, comments)
-count as lines of length 0, and so do lines that are mostly links. Over the lengths slide windows of
-BLOCK lines; text surges where a window's sum reaches a threshold, and dives where a window is empty.
-What lies between is kept. Where the page marks its article (article, main), only lines in it have a
-length, and any text there is a surge. Of several stretches of an unmarked page, those of at least a
-quarter of the largest one's length are kept.
+their tag, role or class never count as text: menus, page headers and footers are lines of length 0,
+and so are lines that are mostly links; sidebars, notices, adverts, forms and comments, which also
+stand within articles, are left out of the count of lines. Over the lengths slide windows of BLOCK
+lines; text surges where a window's sum reaches a threshold, and dives where a window is empty. What
+lies between is kept. Where the page marks its article (article, or else main), only lines in it
+have a length, and any text there is a surge. Of several stretches of an unmarked page, those of at
+least a quarter of the largest one's length are kept.
 
 Defined results: null or empty html gives an empty text. A page cut off anywhere is read as far as it
 goes. Character references are decoded once; white space within a block becomes one space.
@@ -45,6 +46,8 @@ FURNITURE_WORDS = set(
     "social cookie cookies consent gdpr notice notices newsletter subscribe signup popup modal overlay comment comments disqus reply replies respond discussion breadcrumb "
     "breadcrumbs menu nav navbar navigation footer header masthead toolbar pagination pager skip login legal copyright disclaimer feedback teaser outbrain taboola".split()
 )
+#: Furniture around an article; the rest also stands within one.
+AROUND = set("nav header footer menu navbar navigation breadcrumb breadcrumbs masthead toolbar banner contentinfo menubar pagination pager legal copyright".split())
 EXEMPT = {"html", "body", "article", "main"}
 #: A tag that opens closes an open element of these, up to the nearest of the limits.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -53,20 +56,21 @@ CLOSING = re.compile(r"(?:©|\(c\) |copyright\b|all rights reserved)", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def _is_furniture(tag: str, raw: str, in_article: bool) -> bool:
+def _is_furniture(tag: str, raw: str, in_article: int) -> int:
+    """0 for text, 1 for furniture within articles, 2 for furniture around them."""
     if tag in FURNITURE_TAGS and not (tag == "header" and in_article):
-        return True
+        return 2 if tag in AROUND else 1
     if not raw or tag in EXEMPT and "hidden" not in raw and "comment" not in raw:
-        return False
+        return 0
     for m in ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
             words = re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value).lower())
             if not FURNITURE_WORDS.isdisjoint(words):
-                return True
+                return 1 if AROUND.isdisjoint(words) else 2
         elif name == "role" and value.lower() in FURNITURE_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+            return 2 if value.lower() in AROUND else 1
+    return 0
 
 
 class Line:
@@ -79,10 +83,11 @@ class Line:
 def lines_of(page: str) -> list[Line]:
     """The page's blocks in order; empty ones are left out."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, furniture, marked, article header
+    stack: list[tuple[str, int, int, bool]] = []  # tag, furniture, marked (1 in main, 2 in an article), article header
     parts: list[str] = []
     linked, links = 0, 0
-    furniture = marked = titled = False
+    furniture = marked = 0
+    titled = False
 
     def flush():
         nonlocal linked
@@ -90,14 +95,14 @@ def lines_of(page: str) -> list[Line]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append(Line(text, linked, marked, furniture or titled and not any(s[0] in HEADINGS for s in stack)))
+                out.append(Line(text, linked, marked, furniture or int(titled and not any(s[0] in HEADINGS for s in stack))))
         linked = 0
 
     def pop_to(n: int):
         nonlocal furniture, marked, titled, links
         flush()
         del stack[n:]
-        _, furniture, marked, titled = stack[-1] if stack else ("", False, False, False)
+        _, furniture, marked, titled = stack[-1] if stack else ("", 0, 0, False)
         links = sum(s[0] == "a" for s in stack)
 
     at = 0
@@ -124,10 +129,10 @@ def lines_of(page: str) -> list[Line]:
                         if block:
                             pop_to(i)
                         else:
-                            if stack[i][1] != (stack[i - 1][1] if i else False):
+                            if stack[i][1] != (stack[i - 1][1] if i else 0):
                                 flush()
                             del stack[i:]
-                            _, furniture, marked, titled = stack[-1] if stack else ("", False, False, False)
+                            _, furniture, marked, titled = stack[-1] if stack else ("", 0, 0, False)
                             links = sum(s[0] == "a" for s in stack)
                     break
             if block:
@@ -153,11 +158,12 @@ def lines_of(page: str) -> list[Line]:
         if tag in VOID or raw.endswith("/") and not block:
             continue
         mine = _is_furniture(tag, raw, marked)
-        if mine != furniture and mine:
+        if mine > furniture:
             flush()
-        furniture = furniture or mine
-        marked = marked or (tag in ("article", "main") or 'role="main"' in raw or 'itemprop="articleBody"' in raw) and not furniture
-        titled = titled or tag == "header" and marked
+        furniture = max(furniture, mine)
+        if not furniture:
+            marked = max(marked, 2 if tag == "article" or 'itemprop="articleBody"' in raw else 1 if tag == "main" or 'role="main"' in raw else 0)
+        titled = titled or tag == "header" and marked > 0
         links += tag == "a"
         stack.append((tag, furniture, marked, titled))
     if at < len(page):
@@ -190,19 +196,20 @@ def stretches(lengths: list[int], surge: int) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     """The kept blocks, joined by empty lines."""
     lines = lines_of(page or "")
-    if any(x.marked and not x.furniture for x in lines):
-        lengths = [len(x.text) if x.marked and not x.furniture else 0 for x in lines]
-        kept = stretches(lengths, 1)
-    else:
-        lengths = [0 if x.furniture or x.linked > LINK_SHARE * len(x.text) else len(x.text) for x in lines]
-        kept = stretches(lengths, SURGE) or stretches(lengths, 1)
-        mass = [sum(lengths[a:b]) for a, b in kept]
-        kept = [k for k, m in zip(kept, mass, strict=True) if m >= LEAST_SHARE * max(mass)]
-        body = [x.text for a, b in kept for x in lines[a:b] if not x.furniture]
-        while body and CLOSING.match(body[-1]):
-            body.pop()
-        return "\n\n".join(body)
-    return "\n\n".join(lines[i].text for a, b in kept for i in range(a, b) if lengths[i])
+    own = [sum(len(x.text) for x in lines if x.marked == level and not x.furniture) for level in (1, 2)]
+    if any(own):
+        level = 2 if own[1] >= own[0] else 1  # articles, unless most of the main part stands outside of them
+        lengths = [len(x.text) if x.marked >= level and not x.furniture else 0 for x in lines]
+        return "\n\n".join(lines[i].text for a, b in stretches(lengths, 1) for i in range(a, b) if lengths[i])
+    lines = [x for x in lines if x.furniture != 1]
+    lengths = [0 if x.furniture or x.linked > LINK_SHARE * len(x.text) else len(x.text) for x in lines]
+    kept = stretches(lengths, SURGE) or stretches(lengths, 1)
+    mass = [sum(lengths[a:b]) for a, b in kept]
+    kept = [k for k, m in zip(kept, mass, strict=True) if m >= LEAST_SHARE * max(mass)]
+    body = [x.text for a, b in kept for x in lines[a:b] if not x.furniture]
+    while body and CLOSING.match(body[-1]):
+        body.pop()
+    return "\n\n".join(body)
 
 
 def extract(df: DataFrame, page: str = "html", out: str = "text", chars_out: str = "n_chars") -> DataFrame:

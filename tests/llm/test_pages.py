@@ -52,6 +52,8 @@ LONG = "word " * 40
     ("<nav><a href=x>menu</a></nav><main><p>one</p><aside>side</aside><p>two</p></main><footer>f</footer>", "one\n\ntwo"),
     ('<article><p>x</p><div class="ad">buy</div><section id="comments"><article class="comment">nice</article></section><p>y</p></article>', "x\n\ny"),
     (f"<div><a href=1>Home</a></div><h1>Title</h1><p>{LONG}</p><p>ok.</p><ul class='share-buttons'><li>tweet</ul><p>{LONG}</p><div>© 2020</div>", f"Title\n\n{LONG.strip()}\n\nok.\n\n{LONG.strip()}"),
+    (f"<div>Site</div><nav><p>a<p>b<p>c</nav><h1>T</h1><p>{LONG}<div class='advert'><p>1<p>2<p>3<p>4</div><p>end.</p><div class=cookie-notice><p>We use cookies {LONG}</div>", f"T\n\n{LONG.strip()}\n\nend."),
+    (f"<main><p>Section</p><article><p>{LONG}</p></article><p>Next</p></main>", LONG.strip()), (f"<main><p>{LONG}</p><article><p>x</p></article></main>", f"{LONG.strip()}\n\nx"),
     ("<article><script>var a='</p>';</script><style>p{}</style><!-- <p>no</p> --><p>yes</p><form><p>name</p></form>", "yes"),
     ("<article><p>cut of", "cut of"), ("<article><p>a</p><p", "a"), ("<article><p>a &am", "a &am"), ('<article><p title="a>b">x</p>', "x"),
     ("<article><p>a<b>b</b>c <i>d</i></p></article>", "abc d"), ("<body class='has-sidebar'><article><p>in</p></article><p>out</p></body>", "in"),
