@@ -11,7 +11,6 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 EXPR = "array<struct<op:string,num:double,e:string,f:string>>"
 DOCUMENTS = "doc string, id string, title string"
@@ -49,11 +48,6 @@ class DocumentSet:
         return DocumentSet(*(a.unionByName(b) for a, b in zip(self.tables(), other.tables(), strict=True)))
 
 
-def value_struct(prefix: str = "") -> Column:
-    """The columns of a value as one struct."""
-    return F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in VALUE))
-
-
 def comparable(value: Column) -> Column:
     """A value for equality: numbers by value, so that 0.0 and -0.0 are equal, formulas by structure."""
     return F.struct(
@@ -129,7 +123,3 @@ def to_python(docs: DocumentSet, doc: str) -> dict:
         payload = r[{"number": "num", "text": "txt", "boolean": "flag", "reference": "ref", "formula": "expr"}[r["kind"]]]
         out["entities"][r["entity"]]["fields"][r["field"]] = (r["kind"], from_postfix(payload) if r["kind"] == "formula" else payload)
     return out
-
-
-def type_struct() -> T.StructType:
-    return T.StructType.fromDDL("type string, ref_schema string, required boolean")

@@ -166,10 +166,3 @@ def calculate(docs: DocumentSet) -> Calculation:
         new = fresh.select("doc", F.col("entity").alias("dep_entity"), F.col("field").alias("dep_field"), F.col("result").alias("new"))
         told = settle(told.join(pending.select(*KEY), KEY, "left_semi").join(new, ["doc", "dep_entity", "dep_field"], "left").select(*KEY, "dep_entity", "dep_field", F.coalesce("result", "new").alias("result")))
     return Calculation(docs, all_edges, results, pending)
-
-
-def calculate_checked(docs: DocumentSet) -> Calculation:
-    """As calculate, but the first failure of any document is raised."""
-    out = calculate(docs)
-    out.check()
-    return out
