@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,10 +96,6 @@ def hash_below(column, share: float, seed: int):
     return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
 
 
-def arrow_strings(values: list) -> pa.Array:
-    return pa.array(values, pa.string())
-
-
 # --- code points ------------------------------------------------------------------------------
 
 #: Letters that look like Latin ones. Cyrillic and Greek letters, then what they look like.

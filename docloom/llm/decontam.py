@@ -21,7 +21,6 @@ that repeat are answered each.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
