@@ -28,8 +28,15 @@ class CommandError(ValueError):
     pass
 
 
+#: One file is little data: one partition each, and interpreted plans, as compiling them takes longer than running them.
+SMALL = {
+    "spark.sql.shuffle.partitions": "1", "spark.sql.leafNodeDefaultParallelism": "1", "spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false",
+    "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+}
+
+
 def session() -> SparkSession:
-    return SparkSession.getActiveSession() or SparkSession.builder.master("local[*]").appName(PROGRAM).config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    return SparkSession.getActiveSession() or SparkSession.builder.master("local[2]").appName(PROGRAM).config(map=SMALL).getOrCreate()
 
 
 def diagnostics(found: list) -> str:
