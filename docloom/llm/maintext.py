@@ -5,9 +5,10 @@ their tag, role or class never count as text: menus, page headers and footers ar
 and so are lines that are mostly links; sidebars, notices, adverts, forms and comments, which also
 stand within articles, are left out of the count of lines. Over the lengths slide windows of BLOCK
 lines; text surges where a window's sum reaches a threshold, and dives where a window is empty. What
-lies between is kept. Where the page marks its article (article, or else main), only lines in it
-have a length, and any text there is a surge. Of several stretches of an unmarked page, those of at
-least a quarter of the largest one's length are kept.
+lies between is kept. Where the page marks its article (article, or else main), that is a
+hint: if at least half of the text so found stands in it, or nothing on the page surges, the text is what is
+marked, with its short lines; otherwise the mark counts for nothing. Of several stretches of an unmarked page,
+those of at least a quarter of the largest one's length are kept.
 
 Defined results: null or empty html gives an empty text. A page cut off anywhere is read as far as it
 goes. Character references are decoded once; white space within a block becomes one space.
@@ -193,15 +194,25 @@ def stretches(lengths: list[int], surge: int) -> list[tuple[int, int]]:
     return out
 
 
+def hinted(lines: list[Line]) -> list[int] | None:
+    """The lines of what the page marks as its article, or else as its main part, if at least half of the found
+    text stands in it. Where nothing surges, what is marked counts as found."""
+    counted = [0 if x.furniture or not x.marked and x.linked > LINK_SHARE * len(x.text) else len(x.text) for x in lines]
+    surged = stretches(counted, SURGE)
+    found = {i for a, b in surged for i in range(a, b)} if surged else {i for i, x in enumerate(lines) if x.marked}
+    for level in (2, 1):
+        own = [i for i, x in enumerate(lines) if x.marked >= level and counted[i]]
+        if own and 2 * sum(counted[i] for i in own if i in found) >= sum(counted[i] for i in found):
+            return own
+    return None
+
+
 def main_text(page: str | None) -> str:
     """The kept blocks, joined by empty lines."""
-    lines = lines_of(page or "")
-    own = [sum(len(x.text) for x in lines if x.marked == level and not x.furniture) for level in (1, 2)]
-    if any(own):
-        level = 2 if own[1] >= own[0] else 1  # articles, unless most of the main part stands outside of them
-        lengths = [len(x.text) if x.marked >= level and not x.furniture else 0 for x in lines]
-        return "\n\n".join(lines[i].text for a, b in stretches(lengths, 1) for i in range(a, b) if lengths[i])
-    lines = [x for x in lines if x.furniture != 1]
+    lines = [x for x in lines_of(page or "") if x.furniture != 1]
+    marked = hinted(lines)
+    if marked is not None:
+        return "\n\n".join(lines[i].text for i in marked)
     lengths = [0 if x.furniture or x.linked > LINK_SHARE * len(x.text) else len(x.text) for x in lines]
     kept = stretches(lengths, SURGE) or stretches(lengths, 1)
     mass = [sum(lengths[a:b]) for a, b in kept]

@@ -63,6 +63,15 @@ def test_main_text(page, want):
     assert maintext.main_text(page) == want
 
 
+def test_article_is_only_a_hint():
+    body = [f"{i} {LONG}".strip() for i in range(25)]
+    card = '<article class="card"><p>A teaser of forty characters, or so.</p></article>'
+    text = "".join(f"<p>{x}</p>" for x in body)
+    got = maintext.main_text(f"<div>{text}</div><ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul>{card}")
+    assert got == "\n\n".join(body)
+    assert maintext.main_text(f"<article><h1>T</h1>{text}<p>End.</p></article><div><p>{LONG}</p></div>") == "\n\n".join(["T", *body, "End."])
+
+
 def test_main_text_is_linear():
     page = "<article>" + "<p>x " * 20_000 + "<" * 20_000 + "</article>"
     assert maintext.main_text(page).startswith("x\n\nx")
