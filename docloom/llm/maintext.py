@@ -4,11 +4,11 @@ Markup is stripped into lines, one per block element. Lines of elements that are
 their tag, role or class never count as text: menus, page headers and footers are lines of length 0,
 and so are lines that are mostly links; sidebars, notices, adverts, forms and comments, which also
 stand within articles, are left out of the count of lines. Over the lengths slide windows of BLOCK
-lines; text surges where a window's sum reaches a threshold, and dives where a window is empty. What
-lies between is kept. Where the page marks its article (article, or else main), that is a
-hint: if at least half of the text so found stands in it, or nothing on the page surges, the text is what is
-marked, with its short lines; otherwise the mark counts for nothing. Of several stretches of an unmarked page,
-those of at least a quarter of the largest one's length are kept.
+lines; text surges where a window's sum reaches a threshold, and dives where a window is empty. A
+stretch reaches from dive to dive, whether it surges early or late, and all text from the first stretch
+that surges to the last one is kept, but for a closing copyright notice. Where the page marks its article
+(article, or else main), that is a hint: if at least half of the text in stretches stands in it, or nothing
+on the page surges, the text is what is marked, with its short lines; otherwise the mark counts for nothing.
 
 Defined results: null or empty html gives an empty text. A page cut off anywhere is read as far as it
 goes. Character references are decoded once; white space within a block becomes one space.
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import prepare
 
-BLOCK, SURGE, LEAST_SHARE, LINK_SHARE = 3, 80, 0.25, 0.6
+BLOCK, SURGE, LINK_SHARE = 3, 80, 0.6
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|textarea|iframe|svg|title|select|object|canvas|math)\b(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>.*?(?:</\1\s*+>|\Z)"
@@ -52,8 +52,9 @@ AROUND = set("nav header footer menu navbar navigation breadcrumb breadcrumbs ma
 EXEMPT = {"html", "body", "article", "main"}
 #: A tag that opens closes an open element of these, up to the nearest of the limits.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: How a closing line of an unmarked page begins.
-CLOSING = re.compile(r"(?:©|\(c\) |copyright\b|all rights reserved)", re.I)
+#: A closing notice of an unmarked page, and how long it is at most.
+CLOSING = re.compile(r"©|(?:copyright:? *)?\(c\) *\d{4}\b|copyright:? *(?:©|\d{4}\b)|(?:copyright\b.*\b)?all rights reserved\W*\Z", re.I)
+NOTICE = 120
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
@@ -175,22 +176,16 @@ def lines_of(page: str) -> list[Line]:
 
 
 def stretches(lengths: list[int], surge: int) -> list[tuple[int, int]]:
-    """(first, past last) line of each stretch from a surge to a dive."""
-    n = len(lengths)
-    sums, run = [0] * n, 0
-    for i in range(n - 1, -1, -1):
-        run += lengths[i] - (lengths[i + BLOCK] if i + BLOCK < n else 0)
-        sums[i] = run
-    out, i = [], 0
-    while i < n:
-        if sums[i] >= surge:
-            first = next(k for k in range(i, n) if lengths[k])
-            j = first
-            while j < n and sums[j]:
-                j += 1
-            out.append((first, j))
-            i = j
-        i += 1
+    """(first, past last) line of each run between dives, windows of BLOCK empty lines, in which a window surges."""
+    full = [i for i, n in enumerate(lengths) if n]
+    out, at = [], 0
+    for k, i in enumerate(full):
+        if k + 1 < len(full) and full[k + 1] - i <= BLOCK:
+            continue
+        first, last = full[at], i
+        if any(sum(lengths[j : j + BLOCK]) >= surge for j in range(first, last + 1)):
+            out.append((first, last + 1))
+        at = k + 1
     return out
 
 
@@ -215,10 +210,11 @@ def main_text(page: str | None) -> str:
         return "\n\n".join(lines[i].text for i in marked)
     lengths = [0 if x.furniture or x.linked > LINK_SHARE * len(x.text) else len(x.text) for x in lines]
     kept = stretches(lengths, SURGE) or stretches(lengths, 1)
-    mass = [sum(lengths[a:b]) for a, b in kept]
-    kept = [k for k, m in zip(kept, mass, strict=True) if m >= LEAST_SHARE * max(mass)]
-    body = [x.text for a, b in kept for x in lines[a:b] if not x.furniture]
-    while body and CLOSING.match(body[-1]):
+    inside = {i for a, b in kept for i in range(a, b)}
+    first, last = (min(inside), max(inside)) if inside else (0, -1)
+    # between the stretches lie empty lines, and text too short to surge
+    body = [x.text for i, x in enumerate(lines[first : last + 1], first) if not x.furniture and (i in inside or lengths[i])]
+    while body and len(body[-1]) <= NOTICE and CLOSING.match(body[-1]):
         body.pop()
     return "\n\n".join(body)
 

@@ -72,6 +72,20 @@ def test_article_is_only_a_hint():
     assert maintext.main_text(f"<article><h1>T</h1>{text}<p>End.</p></article><div><p>{LONG}</p></div>") == "\n\n".join(["T", *body, "End."])
 
 
+def test_unmarked_pages_lose_no_section():
+    long, short = [f"{i} {LONG}".strip() for i in range(9)], "A closing section of one short paragraph, which is nevertheless longer than eighty characters."
+    text, links = "".join(f"<p>{x}</p>" for x in long), "<ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul>"
+    head = ["Title", "Subtitle", "By one", "1 May", "Place"]
+    top = "".join(f"<p>{x}</p>" for x in head)
+    assert maintext.main_text(f"{top}{text}") == "\n\n".join([*head, *long])
+    assert maintext.main_text(f"<p>{short}</p>{links}{text}{links}<p>Brief.</p>{links}<p>{short}</p>{links}") == "\n\n".join([short, *long, "Brief.", short])
+    law = "Copyright law changed in 1998, and that is all there is to say about it."
+    for last in (law, "(c) The third clause.", f"© is a sign. {LONG}".strip()):
+        assert maintext.main_text(f"{text}<p>{last}</p>") == "\n\n".join([*long, last])
+    for notice in ("© 2020", "Copyright 2020 Me", "Copyright Me. All rights reserved.", "All rights reserved", "(c) 2020 Me"):
+        assert maintext.main_text(f"{text}<p>{notice}</p>") == "\n\n".join(long)
+
+
 def test_main_text_is_linear():
     page = "<article>" + "<p>x " * 20_000 + "<" * 20_000 + "</article>"
     assert maintext.main_text(page).startswith("x\n\nx")
