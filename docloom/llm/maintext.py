@@ -1,7 +1,7 @@
 """Main text of web pages by the line-block distribution.
 
 Markup is stripped into lines, one per block element. Lines of elements that are page furniture by
-their tag, role or class never count as text: menus, page headers and footers are lines of length 0,
+their tag, role or class (where that is ambiguous, by their links and short lines too) never count as text: menus, page headers and footers are lines of length 0,
 and so are lines that are mostly links; sidebars, notices, adverts, forms and comments, which also
 stand within articles, are left out of the count of lines. Over the lengths slide windows of BLOCK
 lines; text surges where a window's sum reaches a threshold, and dives where a window is empty. A
@@ -42,54 +42,110 @@ BLOCKS = set(
 )
 FURNITURE_TAGS = set("nav header footer aside form button menu dialog head search".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-FURNITURE_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar side widget related recommended recommendations share sharing "
-    "social cookie cookies consent gdpr notice notices newsletter subscribe signup popup modal overlay comment comments disqus reply replies respond discussion breadcrumb "
-    "breadcrumbs menu nav navbar navigation footer header masthead toolbar pagination pager skip login legal copyright disclaimer feedback teaser outbrain taboola".split()
+#: Words that articles have no use for, and words that also name parts of articles.
+SURE_WORDS = set(
+    "ad ads adv advert adverts advertisement advertising adsense sponsored sidebar cookie cookies gdpr newsletter popup modal comments disqus breadcrumb breadcrumbs "
+    "nav navbar navigation masthead toolbar pagination pager outbrain taboola".split()
+)
+FURNITURE_WORDS = SURE_WORDS | set(
+    "banner promo promotion sponsor side widget related recommended recommendations share sharing social consent notice notices subscribe signup overlay comment reply replies "
+    "respond responds discussion menu footer header skip login legal copyright disclaimer feedback teaser".split()
 )
 #: Furniture around an article; the rest also stands within one.
 AROUND = set("nav header footer menu navbar navigation breadcrumb breadcrumbs masthead toolbar banner contentinfo menubar pagination pager legal copyright".split())
+#: What an article may be one of, and the sections that hold them.
+COMMENTS, THREADS = {"comment", "comments"}, {"comments", "disqus"}
 EXEMPT = {"html", "body", "article", "main"}
 #: A tag that opens closes an open element of these, up to the nearest of the limits.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: A closing notice of an unmarked page, and how long it is at most.
 CLOSING = re.compile(r"©|(?:copyright:? *)?\(c\) *\d{4}\b|copyright:? *(?:©|\d{4}\b)|(?:copyright\b.*\b)?all rights reserved\W*\Z", re.I)
 NOTICE = 120
+#: Lines of so many characters, or with the end of a sentence, are no labels.
+PROSE, SENTENCE = 40, re.compile(r"[.!?…][\"'”’»)]*\Z")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def _is_furniture(tag: str, raw: str, in_article: int) -> int:
-    """0 for text, 1 for furniture within articles, 2 for furniture around them."""
+def _is_furniture(tag: str, raw: str, in_article: int) -> tuple[int, int]:
+    """0 for text, 1 for furniture within articles, 2 for furniture around them; and the same for what is in doubt.
+
+    Furniture is named by a sure word, or by a class of nothing but furniture words. Other classes and ids with such
+    words leave a doubt, as they may name a part of the text: social-history, #discussion. The ids of headings are
+    made from their texts, and those of sections often are, so they tell nothing and little."""
     if tag in FURNITURE_TAGS and not (tag == "header" and in_article):
-        return 2 if tag in AROUND else 1
-    if not raw or tag in EXEMPT and "hidden" not in raw and "comment" not in raw:
-        return 0
+        return 2 if tag in AROUND else 1, 0
+    doubt = 0
+    section = tag == "section" or "section" in raw and re.search(r"""class\s*=\s*["']?(?:[^"'>]*\s)?section["'\s]""", raw)
     for m in ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
-        if name in ("class", "id"):
-            words = re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value).lower())
-            if not FURNITURE_WORDS.isdisjoint(words):
-                return 1 if AROUND.isdisjoint(words) else 2
+        if name == "class" and (tag not in EXEMPT or tag == "article") or name == "id" and tag not in EXEMPT | HEADINGS:
+            for token in value.split():
+                words = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", token).lower())) - ({"", "header"} if in_article else {""})  # as the tag
+                if words.isdisjoint(FURNITURE_WORDS if tag != "article" else COMMENTS):
+                    continue
+                mine = 1 if AROUND.isdisjoint(words) else 2
+                if name == "class" and words <= FURNITURE_WORDS or not words.isdisjoint(THREADS if section and name == "id" else SURE_WORDS):
+                    return mine, 0
+                doubt = max(doubt, mine)
         elif name == "role" and value.lower() in FURNITURE_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return 2 if value.lower() in AROUND else 1
-    return 0
+            return 2 if value.lower() in AROUND else 1, 0
+    return 0, doubt
 
 
 class Line:
-    __slots__ = ("text", "linked", "marked", "furniture")
+    __slots__ = ("text", "linked", "marked", "furniture", "heading", "doubt")
+
+    def __init__(self, text, linked, marked, furniture, heading, doubt):
+        self.text, self.linked, self.marked, self.furniture, self.heading, self.doubt = text, linked, marked, furniture, heading, doubt
+
+
+class Doubt:
+    """An element that may be furniture, and what is in it."""
+
+    __slots__ = ("within", "mine", "least", "chars", "linked", "longest", "prose")
+
+    def __init__(self, within, mine, marked):
+        self.within, self.mine, self.least = within, mine, SURGE if mine == 2 and not marked else PROSE
+        self.chars = self.linked = self.longest = 0
+        self.prose = [False, False]
+
+    def add(self, chars, linked, longest, heading, sentence):
+        self.chars, self.linked, self.longest = self.chars + chars, self.linked + linked, max(self.longest, longest)
+        self.prose = [self.prose[0] or heading, self.prose[1] or sentence]
+
+    def is_text(self) -> bool:
+        heading, sentence = self.prose
+        return self.linked <= LINK_SHARE * self.chars and (heading or self.longest >= self.least or sentence and self.least == PROSE)
+
 
-    def __init__(self, text, linked, marked, furniture):
-        self.text, self.linked, self.marked, self.furniture = text, linked, marked, furniture
+def settle(lines: list[Line], doubts: list[Doubt]) -> None:
+    """Doubtful elements are text if most of it is not linked, and not all of it is short, without a heading or a
+    sentence; those around articles, where none is marked, need a long line or a heading."""
+    for x in lines:
+        if x.doubt >= 0 and not x.furniture:
+            doubts[x.doubt].add(len(x.text), x.linked, len(x.text), x.heading, bool(SENTENCE.search(x.text)))
+    for d in reversed(doubts):  # those within others come after them
+        if d.is_text():
+            d.mine = 0
+            if d.within >= 0:
+                doubts[d.within].add(d.chars, d.linked, d.longest, *d.prose)
+    for d in doubts:
+        if d.within >= 0:
+            d.mine = max(d.mine, doubts[d.within].mine)
+    for x in lines:
+        if x.doubt >= 0:
+            x.furniture = max(x.furniture, doubts[x.doubt].mine)
 
 
 def lines_of(page: str) -> list[Line]:
     """The page's blocks in order; empty ones are left out."""
     out: list[Line] = []
-    stack: list[tuple[str, int, int, bool]] = []  # tag, furniture, marked (1 in main, 2 in an article), article header
+    stack: list[tuple[str, int, int, bool, int]] = []  # tag, furniture, marked (1 in main, 2 in an article), article header, innermost doubt
+    doubts: list[Doubt] = []
     parts: list[str] = []
     linked, links = 0, 0
     furniture = marked = 0
-    titled = False
+    titled, doubt = False, -1
 
     def flush():
         nonlocal linked
@@ -97,14 +153,15 @@ def lines_of(page: str) -> list[Line]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append(Line(text, linked, marked, furniture or int(titled and not any(s[0] in HEADINGS for s in stack))))
+                heading = any(s[0] in HEADINGS for s in stack)
+                out.append(Line(text, linked, marked, furniture or int(titled and not heading), heading, doubt))
         linked = 0
 
     def pop_to(n: int):
-        nonlocal furniture, marked, titled, links
+        nonlocal furniture, marked, titled, links, doubt
         flush()
         del stack[n:]
-        _, furniture, marked, titled = stack[-1] if stack else ("", 0, 0, False)
+        _, furniture, marked, titled, doubt = stack[-1] if stack else ("", 0, 0, False, -1)
         links = sum(s[0] == "a" for s in stack)
 
     at = 0
@@ -134,7 +191,7 @@ def lines_of(page: str) -> list[Line]:
                             if stack[i][1] != (stack[i - 1][1] if i else 0):
                                 flush()
                             del stack[i:]
-                            _, furniture, marked, titled = stack[-1] if stack else ("", 0, 0, False)
+                            _, furniture, marked, titled, doubt = stack[-1] if stack else ("", 0, 0, False, -1)
                             links = sum(s[0] == "a" for s in stack)
                     break
             if block:
@@ -159,7 +216,10 @@ def lines_of(page: str) -> list[Line]:
                         break
         if tag in VOID or raw.endswith("/") and not block:
             continue
-        mine = _is_furniture(tag, raw, marked)
+        mine, perhaps = _is_furniture(tag, raw, marked)
+        if perhaps and block and not furniture:
+            doubts.append(Doubt(doubt, perhaps, marked))
+            doubt = len(doubts) - 1
         if mine > furniture:
             flush()
         furniture = max(furniture, mine)
@@ -167,11 +227,12 @@ def lines_of(page: str) -> list[Line]:
             marked = max(marked, 2 if tag == "article" or 'itemprop="articleBody"' in raw else 1 if tag == "main" or 'role="main"' in raw else 0)
         titled = titled or tag == "header" and marked > 0
         links += tag == "a"
-        stack.append((tag, furniture, marked, titled))
+        stack.append((tag, furniture, marked, titled, doubt))
     if at < len(page):
         tail = page[at:]
         parts.append(_html.unescape(tail) if "&" in tail else tail)
     flush()
+    settle(out, doubts)
     return out
 
 

@@ -86,6 +86,21 @@ def test_unmarked_pages_lose_no_section():
         assert maintext.main_text(f"{text}<p>{notice}</p>") == "\n\n".join(long)
 
 
+@pytest.mark.parametrize("around", ["<article>@</article>", "<div>@</div>"])
+def test_ambiguous_words_need_another_sign(around):
+    parts = [
+        (f'<div class="article-header"><h1>Title</h1></div><p>{LONG}1</p>', f"Title|{LONG}1"),
+        (f'<section id="discussion"><h2 id="discussion-1">Discussion</h2><p>{LONG}2</p></section>', f"Discussion|{LONG}2"),
+        (f'<h2 id="related-work">Related work</h2><p>{LONG}3</p>', f"Related work|{LONG}3"),
+        (f'<section id="side-effects"><h2>Side effects</h2><p>None.</p></section><p>{LONG}4</p>', f"Side effects|None.|{LONG}4"),
+        (f'<div class="social-history"><p>No smoker.</p></div><div class="legal-notes"><div id="notice"><p>{LONG}5</p></div></div>', f"No smoker.|{LONG}5"),
+        ('<div class="related-posts"><h3>Related</h3><a href=1>One of the other articles</a></div><div class="share-bar"><span>Tweet</span></div>', ""),
+        ('<div class="share">Share it with all of your friends.</div><div class="comment">A fine article, I liked it.</div>', ""),
+    ]
+    page, want = around.replace("@", "".join(p for p, _ in parts)), "|".join(w for _, w in parts if w).split("|")
+    assert maintext.main_text(page) == "\n\n".join(want)
+
+
 def test_main_text_is_linear():
     page = "<article>" + "<p>x " * 20_000 + "<" * 20_000 + "</article>"
     assert maintext.main_text(page).startswith("x\n\nx")
