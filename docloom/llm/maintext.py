@@ -28,7 +28,7 @@ from .common import prepare
 BLOCK, SURGE, LINK_SHARE = 3, 80, 0.6
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|title|select|object|canvas|math)\b(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(?!svg(?=[\s/])(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+(?<=/)>)(script|style|noscript|template|textarea|iframe|svg|title|select)(?=[\s/>])(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>.*?(?:</\1\s*+>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",

@@ -101,6 +101,15 @@ def test_ambiguous_words_need_another_sign(around):
     assert maintext.main_text(page) == "\n\n".join(want)
 
 
+@pytest.mark.parametrize(("piece", "want"), [
+    ("<svg-icon name=a></svg-icon>", ""), ("<title-bar>b</title-bar>", "b"), ("<select-box>c</select-box>", "c"), ("<svg/>", ""), ("<svg width='1' />", ""), ('<svg a="/>"/>', ""),
+    ("<svg a='/'><text>no</text></svg>", ""), ("<svg\n><title>no</title></svg>", ""), ("<math/>", ""), ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1"),
+    ("<object data=o><p>d</p></object>", "d"), ("<canvas>e</canvas>", "e"), ("<select><option>no</select>", ""), ("<script src=a>no</script>", ""), ("<style/>no</style>", ""),
+])
+def test_raw_text_ends_where_its_element_does(piece, want):
+    assert maintext.main_text(f"<article><p>one</p>{piece}<p>two</p></article>") == "\n\n".join(x for x in ("one", want, "two") if x)
+
+
 def test_main_text_is_linear():
     page = "<article>" + "<p>x " * 20_000 + "<" * 20_000 + "</article>"
     assert maintext.main_text(page).startswith("x\n\nx")
