@@ -6,10 +6,10 @@ weight; phrases that excuse a word take its weight back. A text's strength is th
 weights over log2(2 + words), and a logistic curve makes it a score.
 
 The lexicon is learned: of a bounded sample of labelled rows each task counts, by label, in how many
-texts a word or beginning of a word occurs, and after which words; those that a likelihood-ratio test
-finds tied to toxic rows, and that are rare elsewhere, become patterns weighted by their log-odds. A
-pattern counts as often as it has different contexts, so that copies of one toxic text do not make its
-other words toxic. At most max_patterns reach the driver.
+texts a word or beginning of a word occurs; those that a likelihood-ratio test finds tied to toxic rows,
+and that are rare elsewhere, become patterns weighted by their log-odds. Rows of a class of near-duplicates
+(minhash) count as one text of their label, so that copies of one toxic text do not make its other words
+toxic, nor copies of a clean one excuse a word. At most max_patterns reach the driver.
 
 Defined results: null is scored as an empty text; an empty text scores as any text without matches.
 Without labelled rows of both classes, every score is 0. Rows that repeat are scored each.
@@ -18,7 +18,6 @@ Without labelled rows of both classes, every score is 0. Rows that repeat are sc
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -30,14 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import CHUNK, crc_mod, fold, free_name, hash_below, materialise, prepare
+from .minhash import near_duplicates
 
 BEGINNINGS = (4, 5, 6, 7)
 LONGEST_WORD = 40
 #: Phrases in which a word of the lexicon is meant innocently.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clown school", "scum of the pond", "pond scum", "loser bracket")
 ROWS_PER_CLASS, MAX_PATTERNS, LEAST_G, LEAST_PRECISION = 4000, 4000, 20.0, 0.97
-#: Places for the words that stand before a pattern.
-CONTEXTS = 63
 
 
 @dataclass
@@ -102,23 +100,13 @@ def _pieces(text: str):
     yield text[at:]
 
 
-def candidates(text: str | None) -> dict[str, int]:
-    """The patterns that a text holds, its words and their beginnings, each with its contexts: a bit of
-    CONTEXTS for each word that stands before it."""
-    words: dict[str, int] = {}
-    before = ""
-    for piece in _pieces(text or ""):
-        for w in fold(piece).split():
-            words[w] = words.get(w, 0) | 1 << zlib.crc32(before.encode()) % CONTEXTS
-            before = w
-    out: dict[str, int] = {}
-    for w, contexts in words.items():
+def candidates(text: str | None) -> set[str]:
+    """The patterns that a text holds: its words and their beginnings."""
+    out: set[str] = set()
+    for w in {w for piece in _pieces(text or "") for w in fold(piece).split()}:
         if 3 <= len(w) <= LONGEST_WORD:
-            out[f" {w} "] = contexts
-        for n in BEGINNINGS:
-            if len(w) >= n:
-                p = f" {w[:n]}"
-                out[p] = out.get(p, 0) | contexts
+            out.add(f" {w} ")
+        out.update(f" {w[:n]}" for n in BEGINNINGS if len(w) >= n)
     return out
 
 
@@ -131,6 +119,16 @@ def sample(labelled: DataFrame, rows_per_class: int, seed: int) -> DataFrame:
     return labelled.where(chosen)
 
 
+def with_copies(rows: DataFrame) -> DataFrame:
+    """text, toxic and class: null for a text without copies or near-duplicates among the rows, a bounded sample."""
+    node = F.unhex(F.md5(F.col("text").cast("binary")))
+    rows = materialise(rows.withColumn("node", node))
+    found = materialise(near_duplicates(rows, "node", "text"))
+    several = found.groupBy("class").count().where("count > 1").select("class")
+    classes = found.select("node", "class").distinct().join(F.broadcast(several), "class", "left_semi")
+    return rows.join(F.broadcast(classes), "node", "left").select("text", "toxic", "class")
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_class: int = ROWS_PER_CLASS, max_patterns: int = MAX_PATTERNS, seed: int = 7) -> ToxicityModel:
     """A model from the documents that labels name. rows_per_class bounds the sample of each class;
     its keys, that many at most in expectation, are what is broadcast."""
@@ -138,26 +136,27 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     marks = labels.select(F.col(key).alias("key"), F.col(label).alias("toxic")).where("key is not null and toxic in (0, 1)").groupBy("key").agg(F.max("toxic").alias("toxic"))
     chosen = sample(marks, rows_per_class, seed)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "key").select("text", F.col("toxic").cast("int").alias("toxic"))
-    rows = materialise(rows)
-    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    rows = materialise(with_copies(rows))
+    texts = F.count_if(F.col("class").isNull()) + F.count_distinct("class")
+    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").agg(texts).collect()}
     if len(sizes) < 2:
         return ToxicityModel({})
 
     def count(batches):
-        seen: list[Counter] = [Counter(), Counter()]
-        contexts: dict[str, int] = {}
+        single: list[Counter] = [Counter(), Counter()]
+        shared: dict[bytes, list[set]] = {}
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = candidates(t)
-                seen[y].update(found.keys())
-                if y:
-                    for p, c in found.items():
-                        contexts[p] = contexts.get(p, 0) | c
-        names = [*seen[1], *(p for p in seen[0] if p not in seen[1])]
-        for a in range(0, len(names), 50_000):
-            part = names[a : a + 50_000]
-            columns = [[seen[1][p] for p in part], [seen[0][p] for p in part], [contexts.get(p, 0) for p in part]]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(c, pa.int64()) for c in columns)], names=["p", "pos", "neg", "contexts"])
+            for t, y, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if c is None:
+                    single[y].update(candidates(t))
+                else:
+                    shared.setdefault(c, [set(), set()])[y].update(candidates(t))
+        for c, (neg, pos) in [(None, single), *shared.items()]:
+            names = [*pos, *(p for p in neg if p not in pos)]
+            for a in range(0, len(names), 50_000):
+                part = names[a : a + 50_000]
+                columns = [[n[p] for p in part] if c is None else [int(p in n) for p in part] for n in (pos, neg)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([c] * len(part), pa.binary()), *(pa.array(n, pa.int64()) for n in columns)], names=["p", "class", "pos", "neg"])
 
     pos_n, neg_n = float(sizes[1]), float(sizes[0])
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
@@ -167,12 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return F.when(seen > 0, seen * F.log(seen / (rate * all_))).otherwise(0.0)
 
     g = 2 * (term(pos, pos_n, share) + term(neg, neg_n, share) + term(pos_n - pos, pos_n, 1 - share) + term(neg_n - neg, neg_n, 1 - share))
-    # copies of a text repeat their contexts, and so count as about one text
-    bits = F.bit_count("contexts")
-    apart = F.when(bits < CONTEXTS - 8, F.least(F.col("pos"), -1.5 * CONTEXTS * F.log(1 - bits / CONTEXTS))).otherwise(F.col("pos"))
+    once = [F.when(F.col("class").isNull(), F.sum(n)).otherwise(F.max(n)).alias(n) for n in ("pos", "neg")]
     found = (
-        rows.mapInArrow(count, "p string, pos long, neg long, contexts long").groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.bit_or("contexts").alias("contexts"))
-        .withColumn("pos", apart.cast("double")).where((pos >= 3) & ((pos / pos_n) >= LEAST_PRECISION * ((pos / pos_n) + (neg / neg_n))))
+        rows.mapInArrow(count, "p string, class binary, pos long, neg long").groupBy("p", "class").agg(*once).groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        .where((pos >= 3) & ((pos / pos_n) >= LEAST_PRECISION * ((pos / pos_n) + (neg / neg_n))))
         .select("p", g.alias("g"), F.log(((pos + 0.5) / (pos_n + 1)) / ((neg + 0.5) / (neg_n + 1))).alias("w"))
         .where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), F.desc(F.length("p")), "p").limit(max_patterns).collect()
     )
@@ -183,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             x = [model.strength(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1).cast(pa.float64())], names=["x", "y"])
 
-    xy = rows.mapInArrow(measure, "x double, y double").toArrow()
+    xy = rows.select("text", "toxic").mapInArrow(measure, "x double, y double").toArrow()
     model.slope, model.bias = fit_curve(xy["x"].to_numpy(), xy["y"].to_numpy())
     return model
 

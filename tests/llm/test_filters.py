@@ -96,6 +96,20 @@ def test_folding_finds_disguised_words(toxic):
     assert model.score(calm) < 0.5
 
 
+def test_copies_count_once_on_both_sides(spark):
+    r = random.Random(5)
+    fixed = [(prose(r, 30) + " you grobulon " + prose(r, 30), 1) for _ in range(100)]
+    clean = [(prose(r, 60), 0) for _ in range(100)]
+    angry, calm = (prose(r, 60).split() for _ in range(2))
+    copies = [(" ".join(["zukzuk", *angry, prose(r, 1)]), 1) for _ in range(40)] + [(" ".join(["grobulon", *calm, prose(r, 1)]), 0) for _ in range(40)]
+    rows = [(i, *x) for i, x in enumerate(fixed + clean + copies)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.fit(frame, frame)
+    assert any(" grobulon ".startswith(p) for p in model.weights)
+    assert not any(" zukzuk ".startswith(p) for p in model.weights)
+    assert not any(f" {w} ".startswith(p) for p in model.weights for w in angry)
+
+
 def test_exceptions_and_length():
     model = toxicity.ToxicityModel({" trash ": 5.0, " scu": 4.0}, ("trash can",), 2.0, -3.0)
     assert model.strength("the trash can") == 0 and model.strength("a trash, can") == 0 and model.strength("the trash cans") > 0
