@@ -370,14 +370,17 @@ def remove_dependents(s, d):
     return W.dependents(shop(s, d), "shop", "nation-3").select("entity", "field")
 
 
+def rate_changes(docs: DocumentSet):
+    """All that the change of a nation's rate changes, orders as well."""
+    changes = W.set_scalar(docs, "shop", "nation-2", "rate", "10.5").changes
+    return changes.select(F.col("k1").alias("entity"), F.col("k2").alias("field"), "kind", F.col("before.value.num").alias("before"), F.col("after.value.num").alias("after"))
+
+
 @query("set_scalar_diff", """
 SELECT 'nation-2' AS entity, 'rate' AS field, 'FieldChanged' AS kind, CAST(3 AS DOUBLE) AS before, 10.5::DOUBLE AS after
 UNION ALL SELECT 'customer-' || c_custkey, 'rated', 'FormulaImpact', c_acctbal * 3, c_acctbal * 10.5 FROM customer WHERE c_nationkey = 2 AND c_acctbal * 3 <> c_acctbal * 10.5""")
 def set_scalar_diff(s, d):
-    docs = shop(s, d)
-    no_orders = docs.with_(entities=docs.entities.where("schema <> 'orders'"), cells=docs.cells.where("not entity like 'order-%'"))
-    changes = W.set_scalar(no_orders, "shop", "nation-2", "rate", "10.5").changes
-    return changes.select(F.col("k1").alias("entity"), F.col("k2").alias("field"), "kind", F.col("before.value.num").alias("before"), F.col("after.value.num").alias("after"))
+    return rate_changes(shop(s, d)).where("not entity like 'order-%'")
 
 
 @query("export_projection", f"""
@@ -388,25 +391,30 @@ def export_projection(s, d):
     return export_rows(calculate(shop(s, d))).where("schema = 'customers'").select("entity", "field", "number", "text", "reference")
 
 
+def described(docs: DocumentSet):
+    return describe_documents(docs).select(F.explode("entities").alias("e")).select("e.id", "e.schema", F.array_join("e.fields", ",").alias("fields"))
+
+
 @query("describe_entities", """
 SELECT 'nation-' || n_nationkey AS id, 'nations' AS schema, 'name,rate' AS fields FROM nation UNION ALL SELECT 'customer-' || c_custkey, 'customers', 'balance,name,nation,rated' FROM customer""")
 def describe_entities(s, d):
-    docs = shop(s, d)
-    some = docs.with_(entities=docs.entities.where("schema <> 'orders'"), cells=docs.cells.where("not entity like 'order-%'"))
-    return describe_documents(some).select(F.explode("entities").alias("e")).select("e.id", "e.schema", F.array_join("e.fields", ",").alias("fields"))
+    return described(shop(s, d)).where("schema <> 'orders'")
 
 
-@query("calculate_order", """
-SELECT row_number() OVER (ORDER BY path) AS place, path FROM (SELECT 'customer-' || c_custkey || '.' || f AS path FROM customer, (VALUES ('balance'), ('rated')) AS t(f))""")
-def calculate_order(s, d):
+def output_order(docs: DocumentSet):
     """The order of calculated output: by the text entity.field, not by the pair."""
     from pyspark.sql import Window as Win
 
-    docs = shop(s, d)
-    cells = docs.cells.where("entity like 'customer-%' and kind in ('number', 'formula')").select("doc", F.concat_ws(".", "entity", "field").alias("path"))
+    cells = docs.cells.where("kind in ('number', 'formula')").select("doc", F.concat_ws(".", "entity", "field").alias("path"))
     return cells.select(F.row_number().over(Win.partitionBy("doc").orderBy("path")).cast("long").alias("place"), "path")
 
 
+@query("calculate_order", """
+SELECT row_number() OVER (ORDER BY path) AS place, path FROM (SELECT 'customer-' || c_custkey || '.' || f AS path FROM customer, (VALUES ('balance'), ('rated')) AS t(f))""")
+def calculate_order(s, d):
+    return output_order(shop(s, d)).where("path like 'customer-%'")  # the first places of the document
+
+
 @query("formula_parse", """
 SELECT p_partkey, '((' || '[part-' || p_partkey || '.price] * 2) + ' || CAST(p_size AS VARCHAR) || ')' AS canonical, CAST(NULL AS BIGINT) AS error_at FROM part WHERE p_partkey % 2 = 0
 UNION ALL SELECT p_partkey, NULL, CAST(length('[part-' || p_partkey || '.price] * ') AS BIGINT) FROM part WHERE p_partkey % 2 = 1""")

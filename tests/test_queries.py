@@ -46,3 +46,17 @@ def test_entry(spark):
 def test_scans_are_pruned(spark):
     plan = QUERIES["calc_part_price"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<p_partkey:bigint,p_size:int,p_retailprice:double>" in plan and "Exchange" not in plan and "Python" not in plan
+
+
+def test_whole_shop_with_orders(spark, duck):
+    from docloom.plans import catalog as C
+
+    docs = C.shop(spark, DATA)
+    rated = "SELECT o_orderkey AS k, o_totalprice AS t, c_acctbal * 3 AS b, c_acctbal * 10.5::DOUBLE AS a FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 2"
+    want = duck.sql(f"SELECT 'order-' || k, greatest(t, b) - t / 4, greatest(t, a) - t / 4 FROM ({rated}) WHERE greatest(t, b) <> greatest(t, a)").fetchall()
+    got = [tuple(r) for r in C.rate_changes(docs).where("entity like 'order-%' and field = 'score' and kind = 'FormulaImpact'").select("entity", "before", "after").collect()]
+    assert sorted(got) == sorted(want)
+    [(n,)] = duck.sql("SELECT count(*) FROM orders").fetchall()
+    assert C.described(docs).where("schema = 'orders' and fields = 'customer,score,status,total'").count() == n
+    paths = [r["path"] for r in C.output_order(docs).orderBy("place").collect()]
+    assert paths == sorted(paths) and sum(p.startswith("order-") for p in paths) == 2 * n
