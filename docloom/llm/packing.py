@@ -15,7 +15,8 @@ rounds found. Pieces are written to the
 shared folder before the rounds, so that no loss of an executor changes them.
 
 Defined results: a null text is an empty one, and an empty document is its end token alone. Documents
-that repeat are packed each. An empty table gives no pieces.
+that repeat are packed each. An empty table gives no pieces. Columns that a result would clash with are
+refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ _encoders: dict[str, object] = {}
 
 class Encoder:
     """Token ids of the tokenizer file NAME.json. The same vocabulary's ranks (NAME.tiktoken) give the same ids
-    several times faster, and are used for every text without a special token's string."""
+    several times faster, and are used for every text without a special token's string; texts that their regular
+    expression gives up on (runs of some hundred thousand blanks) go to the tokenizer itself too."""
 
     def __init__(self, name: str = VOCABULARY, folder: str | None = None):
         import json
@@ -61,13 +63,16 @@ class Encoder:
 
     def ids(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if any(s in text for s in self.special):
-            if self.exact is None:
-                from tokenizers import Tokenizer
-
-                self.exact = Tokenizer.from_file(self.file)
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        if not any(s in text for s in self.special):
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            except ValueError:  # its regular expression ran out of stack
+                pass
+        if self.exact is None:
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_file(self.file)
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def encoder(name: str = VOCABULARY, folder: str | None = None) -> Encoder:

@@ -44,6 +44,18 @@ def test_contract_on_odd_rows(odd, odd_rows):
     assert n == -(-total // 2048)
 
 
+def test_runs_of_white_space(spark):
+    rows = [(i, "a" + c * 2_000_000 + "b") for i, c in enumerate(" \n\t\u00a0")] + [(9, "a" + " \n\t" * 400_000)]
+    check_rows(documents_packed(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def test_clashing_columns_are_refused(odd):
+    with pytest.raises(ValueError, match="already columns"):
+        tokenise(odd)
+    with pytest.raises(ValueError, match="reserved"):
+        pack(odd.select(F.lit(1).alias("length"), F.lit(1).alias("offset")))
+
+
 def test_empty_table(none):
     assert documents_packed(none).count() == 0
 
