@@ -194,6 +194,16 @@ def test_overlaps_of_odd_rows(spark, odd, odd_rows, none):
     assert kept.columns == odd.columns and 5 not in {r["doc_id"] for r in kept.where("text <> 'another text'").collect()}
 
 
+def test_a_leak_in_a_long_document_goes(spark):
+    r = random.Random(12)
+    item, near, long_ = prose(r, 30).split(), prose(r, 5000).split(), prose(r, 5000).split()
+    rows = [(1, " ".join([*long_[:2500], *item[5:18], *long_[2500:]])), (2, " ".join([*near[:2500], *item[5:17], *near[2500:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert not decontam.documents_overlaps(docs, items).where("contaminated").count()
+    assert [x["doc_id"] for x in decontam.drop_contaminated(docs, items).collect()] == [2]
+
+
 def test_words_in_pieces(monkeypatch):
     from docloom.llm import common
 
