@@ -6,7 +6,7 @@ every stage's result as Parquet in the shared folder and reads it again for the
 1. language: documents whose language is not known with a probability of a half or more go;
 2. toxicity: documents that score 0.7 or more go;
 3. near_duplicates: of each class of near-duplicates the document with the smallest doc_id stays;
-4. decontamination: documents of which a twentieth or more is benchmark windows go;
+4. decontamination: documents that hold a window of a benchmark item go, however long they are;
 5. packing: what is left is packed, a row per piece.
 
 Null texts have no language, and so go first. Extra columns go along to the last stage.
