@@ -5,22 +5,26 @@ set of shingles of SHINGLE words, is contained in a document only if all its shi
 prefix, for containment 1, is a single shingle, best the rarest. The join is:
 
 1. count how often each shingle of the benchmark occurs in all documents (rarity);
-2. keep for each window its rarest shingle, with its offset in the window;
-3. at each place of a document where such a shingle occurs, apply the length bound (the window is no
-   longer than the document) and the positional bound (the window starts and ends inside it), and
-   verify that all words agree, bytes included.
-
-The benchmark is worked in blocks of a bounded number of items, each broadcast on its own, so it may
-be of any size; documents are streamed past each block, and hit words are merged over blocks. No
-document is compared with another, so nothing depends on how often a passage occurs.
+2. keep for each window its rarest shingle, with its offset in the window; windows with a shingle that
+   occurs nowhere cannot be contained, and go;
+3. join the places of documents where such a shingle occurs with the windows of that shingle, apply the
+   length bound (the window is no longer than the document) and the positional bound (the window starts
+   and ends inside it), and verify that all words agree, bytes included.
+
+Windows, shingles, counts and places are tables, and no step depends on how many items there are: documents
+are read twice, once to count and once for the places. To leave out at the scan what cannot join, the
+executors get a bitmap of the hashes in question, of at most MOST_BITS bits; a false alarm costs a row, never
+a result. Texts that repeat are joined once, by their digest. No document is compared with another, so
+nothing depends on how often a passage occurs.
 
 Defined results: a null text has no words. Items without words are ignored; items with a null id hit
 words but are not listed; rows that repeat an item_id are one item with several texts. Documents
-that repeat are answered each.
+that repeat are answered each. Columns that a result would clash with are refused with a ValueError.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,168 +34,151 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, hash_word_bytes, hashed_texts, prepare, shingles, words_of
+from .common import free_name, hash_word_bytes, hashed_texts, materialise, mix, prepare, shingles, words_of
 
 WIDTH, SHINGLE = 13, 4
-#: Items in one broadcast: some MB.
-BLOCK_ITEMS = 2000
-MAP_BITS = 20
+#: Bits of the largest bitmap, 32 MB, and of the smallest. It has 32 for each row, as long as that is between them.
+MOST_BITS, LEAST_BITS = 1 << 28, 1 << 20
+#: Counters that a task holds before it passes them on, and candidate places in one row.
+COUNTERS, PLACES = 1 << 19, 2000
 
 
 @dataclass
-class Block:
-    """Windows of some items: words (joined by spaces), word hashes, length, the ids of their items."""
-
-    windows: list[bytes]
-    hashes: list[np.ndarray]
-    items: list[list[str]]
-    keys: dict[int, np.ndarray]  # by shingle width: sorted hashes
-    #: by shingle width, for each key: (window, offset) pairs; all shingles at first, then the rarest of each window
-    places: dict[int, list[list[tuple[int, int]]]]
-    bitmaps: dict[int, np.ndarray]
-
-    @staticmethod
-    def of(items: list[tuple[str | None, str | None]], width: int) -> Block:
-        found: dict[bytes, dict[str, None]] = {}
-        for item, text in items:
-            w = words_of(text)
-            for i in range(max(1, len(w) - width + 1) if w else 0):
-                ids = found.setdefault(b" ".join(w[i : i + width]), {})
-                if item is not None:
-                    ids[item] = None
-        windows = list(found)
-        block = Block(windows, [hash_word_bytes(w)[0] for w in windows], [list(found[w]) for w in windows], {}, {}, {})
-        spots: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for i, h in enumerate(block.hashes):
-            q = min(SHINGLE, len(h))
-            for o, s in enumerate(shingles(h, q).tolist()):
-                spots.setdefault(q, {}).setdefault(s, []).append((i, o))
-        block._index(spots)
-        return block
-
-    def _index(self, spots: dict[int, dict[int, list[tuple[int, int]]]]) -> None:
-        self.keys, self.places, self.bitmaps = {}, {}, {}
-        for q, by in spots.items():
-            keys = sorted(by)
-            self.keys[q], self.places[q] = np.array(keys, np.uint64), [by[k] for k in keys]
-            bits = np.zeros(1 << MAP_BITS, bool)
-            bits[(self.keys[q] & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)] = True
-            self.bitmaps[q] = bits
-
-    def found(self, h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(shingle width, places in h, numbers of the keys there)."""
-        for q, keys in self.keys.items():
-            s = shingles(h, q)
-            at = np.flatnonzero(self.bitmaps[q][(s & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)])
-            if len(at):
-                k = np.minimum(np.searchsorted(keys, s[at]), len(keys) - 1)
-                good = keys[k] == s[at]
-                yield q, at[good], k[good]
-
-    def keep_rarest(self, counts: dict[tuple[int, int], int]) -> None:
-        """The prefix of each window: the shingle with the least count, the first of equals. Windows with a
-        shingle that never occurs are dropped, as they cannot be contained."""
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for q, places in self.places.items():
-            for k, spots in enumerate(places):
-                n = counts.get((q, k), 0)
-                for i, o in spots:
-                    if i not in best or (n, o) < best[i][:2]:
-                        best[i] = (n, o, q, k)
-        spots_: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for i, (n, o, q, k) in best.items():
-            if n:
-                spots_.setdefault(q, {}).setdefault(int(self.keys[q][k]), []).append((i, o))
-        self._index(spots_)
-
-    def occurrences(self, h: np.ndarray, bounds: np.ndarray, data: list[bytes], first: int) -> Iterator[tuple[int, int, int, int]]:
-        """(text, start, length, window) of verified occurrences; places count in h."""
-        words: dict[int, list[bytes]] = {}
-        for q, at, keys in self.found(h):
-            texts = np.searchsorted(bounds, at, "right") - 1
-            for p, k, t in zip(at.tolist(), keys.tolist(), texts.tolist(), strict=True):
-                low, high = bounds[t], bounds[t + 1]
-                for i, o in self.places[q][k]:
-                    a, wh = p - o, self.hashes[i]
-                    if a < low or a + len(wh) > high or not np.array_equal(h[a : a + len(wh)], wh):
-                        continue
-                    if t not in words:
-                        words[t] = words_of(data[t].decode("utf-8", "replace"))
-                    if b" ".join(words[t][a - low : a - low + len(wh)]) == self.windows[i]:
-                        yield t + first, a - low, len(wh), i
-
-
-def blocks_of(benchmark: DataFrame, item: str, text: str, width: int, block_items: int) -> Iterator[Block]:
-    """The benchmark in blocks; one is in the driver's memory at a time."""
-    held: list[tuple[str | None, str | None]] = []
-    for r in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == block_items:
-            yield Block.of(held, width)
-            held = []
-    if held:
-        yield Block.of(held, width)
-
-
-def rarity(docs: DataFrame, text: str, block) -> dict[tuple[int, int], int]:
-    """How often each of a broadcast block's shingles occurs in all documents."""
-
-    def count(batches):
-        b = block.value
-        n = {q: np.zeros(len(k), np.int64) for q, k in b.keys.items()}
+class Sieve:
+    """A bitmap of hashes, with a bit for the lower half of each and one for the upper, and the shingle widths that they are of."""
+
+    words: np.ndarray
+    widths: list[int]
+
+    def found(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places in h, keys) of the shingles that may be in the set and are within one text, by width."""
+        mask = np.uint64(len(self.words) * 64 - 1)
+        for q in self.widths:
+            keys = keys_of(h, q)
+            at = np.arange(len(keys))
+            for half in (0, 32):
+                bit = (keys[at] >> np.uint64(half)) & mask
+                at = at[np.flatnonzero((self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))]
+            at = at[np.searchsorted(bounds, at, "right") == np.searchsorted(bounds, at + q - 1, "right")]
+            yield at, keys[at]
+
+
+def keys_of(h: np.ndarray, width: int) -> np.ndarray:
+    """The keys of the shingles of a width, that tell widths apart too."""
+    return mix(shingles(h, width) + np.uint64(width))
+
+
+def sieve(keys: DataFrame) -> Sieve | None:
+    """The sieve of a table (s, q), None of an empty one; its bitmap is made on the executors, of MOST_BITS bits at most."""
+    rows, widths = keys.agg(F.count(F.lit(1)), F.collect_set("q")).first()  # SHINGLE widths at most
+    if not rows:
+        return None
+    size = 64
+    while size < min(MOST_BITS, max(LEAST_BITS, 32 * rows)):
+        size *= 2
+    half = keys.select(F.explode(F.array("s", F.shiftright("s", 32))).alias("s"))
+    marks = half.select(F.shiftright(F.col("s").bitwiseAND(size - 1), 6).alias("w"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("b"))
+    marks = marks.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # a row per 64 bits at most
+    words = np.zeros(size // 64, np.uint64)
+    words[marks["w"].to_numpy()] = marks["b"].to_numpy().view(np.uint64)
+    return Sieve(words, sorted(widths))
+
+
+def windows_of(benchmark: DataFrame, item: str, text: str, width: int) -> DataFrame:
+    """Distinct (id, window, n, item, keys): the digest of a window, its words joined by blanks, their number, an item
+    that has it, and the keys of its shingles in their order."""
+
+    def run(batches):
         for batch in batches:
-            for _, _, h, bounds, _ in hashed_texts(batch.column(0).to_pylist()):
-                for q, at, k in b.found(h):
-                    inside = np.searchsorted(bounds, at, "right") == np.searchsorted(bounds, at + q - 1, "right")
-                    n[q] += np.bincount(k[inside], minlength=len(n[q]))
-        for q, c in n.items():
-            used = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), q), pa.int32()), pa.array(used, pa.int32()), pa.array(c[used])], names=["q", "k", "n"])
-
-    counted = docs.select(text).mapInArrow(count, "q int, k int, n long").groupBy("q", "k").agg(F.sum("n").alias("n")).toArrow()
-    return {(q, k): n for q, k, n in zip(*(counted[c].to_pylist() for c in ("q", "k", "n")), strict=True)}
-
-
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """docs with three more columns: n_words, hits (merged [start, end) runs of hit words, as an array of
-    structs) and items (sorted ids of the items with an occurring window)."""
-    spark = docs.sparkSession
-    prepare(spark)
-    if clash := {"n_words", "hits", "items"} & set(docs.columns):
-        raise ValueError(f"{clash} are already columns")
-    hits_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hits", hits_type), T.StructField("items", T.ArrayType(T.StringType()))])
-    at, own = docs.columns.index(text), len(docs.columns)
-    arrow_hits = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def stage(source: DataFrame, shared, begun: bool) -> DataFrame:
-        def run(batches):
-            b = shared.value if shared else None
-            for batch in batches:
-                texts = batch.column(at).to_pylist()
-                spans = [[(x["start"], x["end"]) for x in r] for r in batch.column(own + 1).to_pylist()] if begun else [[] for _ in texts]
-                items = [set(r) for r in batch.column(own + 2).to_pylist()] if begun else [set() for _ in texts]
-                n_words = np.zeros(len(texts), np.int64)
-                for first, last, h, bounds, data in hashed_texts(texts):
-                    n_words[first:last] = np.diff(bounds)
-                    if b:
-                        for t, a, n, i in b.occurrences(h, bounds, data, first):
-                            spans[t].append((a, a + n))
-                            items[t].update(b.items[i])
-                columns = [*batch.columns[:own], pa.array(n_words), pa.array([[{"start": a, "end": e} for a, e in _merged(s)] for s in spans], arrow_hits), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-        return source.mapInArrow(run, schema)
-
-    out = None
-    for block in blocks_of(benchmark, item, item_text, width, block_items):
-        if not block.windows:
-            continue
-        counting = spark.sparkContext.broadcast(block)
-        block.keep_rarest(rarity(docs, text, counting))
-        counting.unpersist()
-        out = stage(docs if out is None else out, spark.sparkContext.broadcast(block), out is not None)
-    return out if out is not None else stage(docs, None, False)
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = words_of(t)
+                n = min(width, len(w))
+                for a in range(0, len(w) - n + 1 if n else 0, 10_000):
+                    end = min(a + 10_000, len(w) - n + 1)
+                    rows = [b" ".join(w[i : i + n]) for i in range(a, end)]
+                    q = min(SHINGLE, n)
+                    keys = keys_of(hash_word_bytes(b" ".join(w[a : end + n - 1]))[0], q).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([hashlib.md5(r).digest() for r in rows], pa.binary()), pa.array([r.decode() for r in rows]), pa.array([n] * len(rows), pa.int32()), pa.array([name] * len(rows), pa.string()),
+                         pa.array([keys[i : i + n - q + 1] for i in range(len(rows))], pa.list_(pa.int64()))],
+                        names=["id", "window", "n", "item", "keys"],
+                    )
+
+    return benchmark.select(F.col(item).cast("string"), F.col(text)).mapInArrow(run, "id binary, window string, n int, item string, keys array<long>").dropDuplicates(["id", "item"])
+
+
+def shingles_of(windows: DataFrame) -> DataFrame:
+    """s, q, o, id, n: the key and width of each shingle of each window, and its offset there."""
+    return windows.select((F.col("n") - F.size("keys") + 1).alias("q"), F.posexplode("keys").alias("o", "s"), "id", "n").select("s", "q", "o", "id", "n")
+
+
+def rarity(docs: DataFrame, text: str, wanted: Sieve) -> DataFrame:
+    """s, c: how often the shingles that pass a sieve occur in all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        b = shared.value
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["s", "c"])
+
+        for batch in batches:
+            met = [k for _, _, h, bounds, _ in hashed_texts(batch.column(0).to_pylist()) for _, k in b.found(h, bounds)]
+            if met:
+                new, n = np.unique(np.concatenate(met), return_counts=True)
+                keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                counts = np.bincount(where, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            if len(keys) > COUNTERS:
+                yield out()
+                keys, counts = keys[:0], counts[:0]
+        yield out()
+
+    return docs.select(text).mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
+
+
+def prefixes(windows: DataFrame, own: DataFrame, counts: DataFrame) -> DataFrame:
+    """s, q, o, id, n, window: the rarest shingle of each window, the first of equals."""
+    rarest = own.join(counts, "s").groupBy("id").agg(F.min(F.struct("c", "o", "s", "q", "n")).alias("x"), F.count(F.lit(1)).alias("known")).where("known = x.n - x.q + 1")
+    return rarest.select("id", "x.s", "x.q", "x.o", "x.n").join(windows.select("id", "window"), "id")
+
+
+def places(docs: DataFrame, text: str, wanted: Sieve | None, width: int, names: dict[str, str]) -> DataFrame:
+    """The other columns of docs, and by names: words, digest of the text, part, and candidates. Part 0 is the document's row,
+    and tells whether it has candidates; further parts hold more candidates of a text that has very many. A candidate is a
+    key, its place among the words around it, where these begin in the document, and the words, joined by blanks."""
+    at = docs.columns.index(text)
+    rest = [f for i, f in enumerate(docs.schema.fields) if i != at]
+    schema = T.StructType([*rest, *(T.StructField(names[n], T._parse_datatype_string(t)) for n, t in (("n_words", "long"), ("digest", "binary"), ("part", "int"), ("cands", "array<struct<s:bigint,at:int,lo:bigint,words:string>>")))])
+    kind = pa.list_(pa.struct([("s", pa.int64()), ("at", pa.int32()), ("lo", pa.int64()), ("words", pa.string())]))
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        b = shared.value
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            others = [c for i, c in enumerate(batch.columns) if i != at]
+            for first, last, h, bounds, data in hashed_texts(texts):
+                found: list[list[dict]] = [[] for _ in data]
+                words: dict[int, list[bytes]] = {}
+                for spots, keys in b.found(h, bounds) if b else ():
+                    of = np.searchsorted(bounds, spots, "right") - 1
+                    for p, s, t in zip(spots.tolist(), keys.view(np.int64).tolist(), of.tolist(), strict=True):
+                        if t not in words:
+                            words[t] = words_of(data[t].decode())
+                        p -= int(bounds[t])
+                        lo = max(0, p - width + 1)
+                        found[t].append({"s": s, "at": p - lo, "lo": lo, "words": b" ".join(words[t][lo : p + width]).decode()})
+                rows = [(t, k, found[t][k * PLACES : (k + 1) * PLACES]) for t in range(len(data)) for k in range(max(1, -(-len(found[t]) // PLACES)))]
+                for a in range(0, len(rows), 1000):
+                    t, part, cands = zip(*rows[a : a + 1000], strict=True)
+                    take = pa.array([first + i for i in t])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(c.take(take) for c in others), pa.array([int(bounds[i + 1] - bounds[i]) for i in t], pa.int64()), pa.array([hashlib.md5(data[i]).digest() for i in t], pa.binary()), pa.array(part, pa.int32()), pa.array(cands, kind)],
+                        names=schema.names,
+                    )
+
+    return docs.mapInArrow(run, schema)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -204,6 +191,55 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+HITS = "array<struct<start:bigint,end:bigint>>"
+
+
+def verified(cands: DataFrame, prefix: DataFrame, windows: DataFrame) -> DataFrame:
+    """digest, hits, items of the texts that contain a window; cands has digest, s, at, lo and words."""
+    both = cands.join(prefix, "s").withColumn("w", F.split("words", " "))
+    begin = F.col("at") - F.col("o")
+    inside = both.where((begin >= 0) & (begin + F.col("n") <= F.size("w")))
+    met = materialise(inside.where(F.array_join(F.slice("w", begin + 1, F.col("n")), " ") == F.col("window")).select("digest", "id", (F.col("lo") + begin).alias("start"), "n"))
+
+    def merge(batches):
+        for batch in batches:
+            spans = [[{"start": a, "end": e} for a, e in _merged([(x["start"], x["end"]) for x in r])] for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["digest", "hits"])
+
+    spans = met.groupBy("digest").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("hits")).mapInArrow(merge, f"digest binary, hits {HITS}")
+    listed = met.select("digest", "id").distinct().join(windows.where("item is not null").select("id", "item"), "id")
+    items = listed.groupBy("digest").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return spans.join(items, "digest", "left").select("digest", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
+    """The columns of docs but the text, and three more: n_words, hits (merged [start, end) runs of hit words, as an
+    array of structs) and items (sorted ids of the items with an occurring window)."""
+    prepare(docs.sparkSession)
+    others = [c for c in docs.columns if c != text]
+    if clash := {"n_words", "hits", "items"} & set(others):
+        raise ValueError(f"{clash} are already columns")
+    names = {"n_words": "n_words"} | {n: free_name([*others, "n_words", "hits", "items"], n) for n in ("digest", "part", "cands")}
+    digest, part, cands = names["digest"], F.col(names["part"]), F.col(names["cands"])
+    windows = materialise(windows_of(benchmark, item, item_text, width))
+    single = windows.dropDuplicates(["id"])
+    own = shingles_of(single)
+    prefix, wanted = None, sieve(own)
+    if wanted:
+        prefix = materialise(prefixes(single, own, rarity(docs, text, wanted)))
+        wanted = sieve(prefix)
+    found = materialise(places(docs, text, wanted, width, names))
+    rows = found.where(part == 0)
+    none = [F.array().cast(HITS).alias("hits"), F.array().cast("array<string>").alias("items")]
+    if wanted is None:
+        return rows.select(*others, "n_words", *none)
+    listed = found.where(F.size(cands) > 0).select(F.col(digest).alias("digest"), part.alias("part"), cands.alias("cands")).dropDuplicates(["digest", "part"])
+    hits = materialise(verified(listed.select("digest", F.explode("cands").alias("x")).select("digest", "x.*"), prefix, windows))
+    mine = rows.where(F.size(cands) > 0).select(*others, "n_words", digest)
+    joined = mine.join(hits.withColumnRenamed("digest", digest) if digest != "digest" else hits, digest, "left")
+    return rows.where(F.size(cands) == 0).select(*others, "n_words", *none).unionAll(joined.select(*others, "n_words", *(F.coalesce(n, x).alias(n) for n, x in zip(("hits", "items"), none, strict=True))))
+
+
 def n_hit(hits="hits"):
     return F.aggregate(hits, F.lit(0).cast("long"), lambda s, x: s + x.end - x.start)
 
@@ -224,9 +260,10 @@ def documents_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The pipeline's filter: documents without any hit word. A window of a benchmark item within a long document
     is as much of a leak as in a short one, so no share of the document excuses it."""
-    renamed = {c: free_name([x for x in docs.columns if x != c] + ["n_words", "hits", "items"], c) for c in docs.columns}
-    found = find_overlaps(docs.withColumnsRenamed(renamed), benchmark, renamed["text"])
-    return found.where(n_hit() == 0).select(*(F.col(b).alias(a) for a, b in renamed.items()))
+    name = free_name(docs.columns, "_digest")
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias(name)
+    hit = materialise(find_overlaps(docs.select(digest, "text"), benchmark).where(n_hit() > 0).select(name).distinct())
+    return docs.select("*", digest).join(hit, name, "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

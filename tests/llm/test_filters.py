@@ -174,12 +174,13 @@ def leaks():
     return docs, items
 
 
-@pytest.mark.parametrize("block", [2000, 7])
-def test_overlaps_against_brute_force(spark, leaks, block, monkeypatch):
+@pytest.mark.parametrize(("bits", "places"), [(1 << 28, 2000), (64, 3)])  # the second: nearly all alarms are false
+def test_overlaps_against_brute_force(spark, leaks, bits, places, monkeypatch):
     docs, items = leaks
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     b = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontam.find_overlaps, "__defaults__", ("text", "item_id", "text", 13, block))
+    monkeypatch.setattr(decontam, "MOST_BITS", bits)
+    monkeypatch.setattr(decontam, "PLACES", places)
     assert rows_of(decontam.documents_overlaps(d, b)) == brute(docs, items)
 
 
@@ -190,6 +191,8 @@ def test_overlaps_of_odd_rows(spark, odd, odd_rows, none):
     assert rows_of(decontam.documents_overlaps(small, items)) == brute(plain, [(1, odd_rows[5][1]), (2, "é" * 500)])
     assert decontam.documents_overlaps(none, items).count() == 0
     assert decontam.documents_overlaps(odd, items.limit(0)).where("n_hit > 0 or contaminated").count() == 0
+    with pytest.raises(ValueError, match="already columns"):
+        decontam.find_overlaps(odd, items)
     kept = decontam.drop_contaminated(odd, items)
     assert kept.columns == odd.columns and 5 not in {r["doc_id"] for r in kept.where("text <> 'another text'").collect()}
 
