@@ -3,23 +3,31 @@
 Texts are folded first: lower case, no accents, homoglyphs and digits as the letters they stand for,
 everything else a space. Patterns are whole words (" word ") or word beginnings (" begin"), with a
 weight; phrases that excuse a word take its weight back. A text's strength is the sum of its
-weights over log2(2 + words), and a logistic curve makes it a score.
+weights over log2(2 + words), and a logistic curve makes it a score. Texts are folded piece by piece and
+matched as a whole, so no cut can part a phrase; matching and excusing take time in proportion to the text.
 
-The lexicon is learned: of a bounded sample of labelled rows each task counts, by label, in how many
-texts a word or beginning of a word occurs; those that a likelihood-ratio test finds tied to toxic rows,
-and that are rare elsewhere, become patterns weighted by their log-odds. Rows of a class of near-duplicates
-(minhash) count as one text of their label, so that copies of one toxic text do not make its other words
-toxic, nor copies of a clean one excuse a word. At most max_patterns reach the driver.
+Lexicon and phrases are learned. Of a bounded sample of labelled rows each task counts, by label, in how many
+texts a word or beginning of a word occurs; those that a likelihood-ratio test finds tied to toxic rows are
+candidates. Phrases of a candidate and a word beside it that are clean text's excuse it. Candidates that are rare
+elsewhere, where they are not excused, become patterns weighted by their log-odds. Rows of a class of
+near-duplicates (by their minhash signatures) count as one text of their label, so that copies of one toxic text do not make its
+other words toxic, nor copies of a clean one excuse a word. max_patterns bounds what the driver gets; where
+that leaves out a pattern, a warning says so.
 
 Defined results: null is scored as an empty text; an empty text scores as any text without matches.
-Without labelled rows of both classes, every score is 0. Rows that repeat are scored each.
+Without labelled rows of both classes, every score is 0. Rows that repeat are scored each. Columns that a result
+would clash with are refused with a ValueError.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -29,19 +37,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import CHUNK, crc_mod, fold, free_name, hash_below, materialise, prepare
-from .minhash import near_duplicates
+from .minhash import BANDS, ROWS, SEED, SIMILARITY, signed
 
 BEGINNINGS = (4, 5, 6, 7)
-LONGEST_WORD = 40
-#: Phrases in which a word of the lexicon is meant innocently.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clown school", "scum of the pond", "pond scum", "loser bracket")
-ROWS_PER_CLASS, MAX_PATTERNS, LEAST_G, LEAST_PRECISION = 4000, 4000, 20.0, 0.97
+#: Of a pattern's texts, with classes of equal size, this share is toxic; of a candidate's, whose other texts may be excused.
+LEAST_PRECISION, CANDIDATE_PRECISION = 0.97, 0.6
+#: Clean texts that a phrase which excuses is in, at least.
+LEAST_CLEAN = 5
+ROWS_PER_CLASS, MAX_PATTERNS, LEAST_G = 4000, 4000, 20.0
+#: The tasks that share the sample.
+TASKS = 32
 
 
 @dataclass
 class ToxicityModel:
     weights: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     slope: float = 0.0
     bias: float = -50.0
     _auto: object = field(default=None, repr=False)
@@ -53,36 +64,54 @@ class ToxicityModel:
         if self._auto is None:
             a = ahocorasick.Automaton()
             for p, w in self.weights.items():
-                a.add_word(p, (w, 0))
+                a.add_word(p, (p, w, 0))
             for e in self.exceptions:
                 p = f" {' '.join(fold(e).split())} "
-                a.add_word(p, (0.0, len(p)))
+                a.add_word(p, (p, 0.0, len(p)))
             a.make_automaton()
             self._auto = a
         return self._auto
 
+    def hits(self, folded: str) -> list[tuple[int, str, float]]:
+        """(end, pattern, weight) of the patterns in a folded text that no phrase excuses."""
+        found: list[tuple[int, str, float]] = []
+        begins, ends = [], []
+        for end, (p, w, n) in self.automaton().iter(folded) if self.weights else ():
+            if n:
+                begins.append(end - n + 2), ends.append(end)  # the blank in front may end the pattern of another word
+            else:
+                found.append((end, p, w))
+        if ends:  # how many phrases have begun by a place, and how many have ended before it
+            at = np.array([e for e, *_ in found], np.int64)
+            within = np.searchsorted(np.sort(begins), at, "right") > np.searchsorted(ends, at, "left")
+            found = [x for x, excused in zip(found, within, strict=True) if not excused]
+        return found
+
     def strength(self, text: str | None) -> float:
         """Sum of the weights found, less the excused ones, over log2(2 + words)."""
-        words = 0
-        total = 0.0
-        for piece in _pieces(text or ""):
-            folded = f" {' '.join(fold(piece).split())} "
-            words += folded.count(" ") - 1
-            if not self.weights:
-                continue
-            hits: list[tuple[int, float]] = []
-            excused: list[tuple[int, int]] = []
-            for end, (w, n) in self.automaton().iter(folded):
-                if n:
-                    excused.append((end - n + 1, end))
-                else:
-                    hits.append((end, w))
-            total += sum(w for end, w in hits if not any(a <= end <= b for a, b in excused)) if excused else sum(w for _, w in hits)
-        return total / math.log2(2 + words)
+        folded = folded_words(text)
+        return sum(w for *_, w in self.hits(folded)) / math.log2(2 + folded.count(" ") - 1)
 
     def score(self, text: str | None) -> float:
         return _logistic(self.bias + self.slope * self.strength(text))
 
+    def patterns_in(self, text: str | None) -> set[str]:
+        return {p for _, p, _ in self.hits(folded_words(text))}
+
+    def phrases_in(self, text: str | None) -> set[str]:
+        """The words with a pattern, each with the word before it, and with the one after it."""
+        folded = folded_words(text)
+        found = self.hits(folded)
+        if not found:
+            return set()
+        words = folded.split()
+        begins = list(accumulate((len(w) + 1 for w in words), initial=1))
+        out: set[str] = set()
+        for end, p, _ in found:
+            i = bisect_right(begins, end - len(p) + 2) - 1
+            out.update(" ".join(words[j : j + 2]) for j in (i - 1, i) if j >= 0 and j + 1 < len(words))
+        return out
+
 
 def _logistic(x: float) -> float:
     return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
@@ -100,11 +129,16 @@ def _pieces(text: str):
     yield text[at:]
 
 
+def folded_words(text: str | None) -> str:
+    """The folded words of a text between single blanks, with one before and after."""
+    return f" {' '.join(w for piece in _pieces(text or '') for w in fold(piece).split())} "
+
+
 def candidates(text: str | None) -> set[str]:
     """The patterns that a text holds: its words and their beginnings."""
     out: set[str] = set()
-    for w in {w for piece in _pieces(text or "") for w in fold(piece).split()}:
-        if 3 <= len(w) <= LONGEST_WORD:
+    for w in set(folded_words(text).split()):
+        if len(w) >= 3:
             out.add(f" {w} ")
         out.update(f" {w[:n]}" for n in BEGINNINGS if len(w) >= n)
     return out
@@ -120,71 +154,120 @@ def sample(labelled: DataFrame, rows_per_class: int, seed: int) -> DataFrame:
 
 
 def with_copies(rows: DataFrame) -> DataFrame:
-    """text, toxic and class: null for a text without copies or near-duplicates among the rows, a bounded sample."""
-    node = F.unhex(F.md5(F.col("text").cast("binary")))
-    rows = materialise(rows.withColumn("node", node))
-    found = materialise(near_duplicates(rows, "node", "text"))
-    several = found.groupBy("class").count().where("count > 1").select("class")
-    classes = found.select("node", "class").distinct().join(F.broadcast(several), "class", "left_semi")
-    return rows.join(F.broadcast(classes), "node", "left").select("text", "toxic", "class")
+    """text, toxic and class: null for a text without copies or near-duplicates among the rows, a bounded sample.
+
+    One task gets the signatures of the sample's distinct texts, 2 KB each, and links a text to the first one of a
+    band's bucket if four fifths of their coordinates agree."""
+    single = signed(rows, "node", "text", BANDS * ROWS, 1, SEED).where("buckets is not null").select("node", "buckets").dropDuplicates(["node"])
+
+    def link(batches):
+        held = [(n, np.array(x, np.int64)) for b in batches for n, x in zip(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), strict=True)]
+        held.sort(key=lambda x: x[0])
+        signs = np.stack([x for _, x in held]) if held else np.zeros((0, BANDS * ROWS), np.int64)
+        up = np.arange(len(held))
+
+        def top(i):
+            while up[i] != i:
+                up[i] = i = up[up[i]]
+            return i
+
+        for band in range(0, BANDS * ROWS, ROWS) if held else ():
+            _, first, of = np.unique(signs[:, band : band + ROWS], axis=0, return_index=True, return_inverse=True)
+            leader = first[of.reshape(-1)]
+            for i in np.flatnonzero((leader != np.arange(len(held))) & ((signs == signs[leader]).mean(1) >= SIMILARITY)):
+                x, y = sorted((top(i), top(leader[i])))
+                up[y] = x
+        tops = [top(i) for i in range(len(held))]
+        several = Counter(tops)
+        keep = [i for i, x in enumerate(tops) if several[x] > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in keep], pa.binary()), pa.array([held[tops[i]][0] for i in keep], pa.binary())], names=["node", "class"])
+
+    near = single.repartition(1).mapInArrow(link, "node binary, class binary")
+    copied = rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("node")
+    classes = copied.join(near, "node", "full_outer").select("node", F.coalesce("class", "node").alias("class"))
+    return rows.join(F.broadcast(materialise(classes)), "node", "left").select("text", "toxic", "class")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_class: int = ROWS_PER_CLASS, max_patterns: int = MAX_PATTERNS, seed: int = 7) -> ToxicityModel:
-    """A model from the documents that labels name. rows_per_class bounds the sample of each class;
-    its keys, that many at most in expectation, are what is broadcast."""
+    """A model from the documents that labels name. rows_per_class bounds the sample of each class: its keys are
+    that many at most, in expectation, and its rows twice as many, where keys repeat."""
     prepare(docs.sparkSession)
     marks = labels.select(F.col(key).alias("key"), F.col(label).alias("toxic")).where("key is not null and toxic in (0, 1)").groupBy("key").agg(F.max("toxic").alias("toxic"))
     chosen = sample(marks, rows_per_class, seed)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "key").select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = materialise(rows.withColumn("node", F.unhex(F.md5(F.col("text").cast("binary")))).repartition(TASKS))
+    # again by text: a key may have any number of rows
+    rows = sample(rows.withColumnRenamed("node", "key"), 2 * rows_per_class, seed + 1).withColumnRenamed("key", "node")
     rows = materialise(with_copies(rows))
     texts = F.count_if(F.col("class").isNull()) + F.count_distinct("class")
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").agg(texts).collect()}
     if len(sizes) < 2:
         return ToxicityModel({})
 
-    def count(batches):
-        single: list[Counter] = [Counter(), Counter()]
-        shared: dict[bytes, list[set]] = {}
-        for batch in batches:
-            for t, y, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if c is None:
-                    single[y].update(candidates(t))
-                else:
-                    shared.setdefault(c, [set(), set()])[y].update(candidates(t))
-        for c, (neg, pos) in [(None, single), *shared.items()]:
-            names = [*pos, *(p for p in neg if p not in pos)]
-            for a in range(0, len(names), 50_000):
-                part = names[a : a + 50_000]
-                columns = [[n[p] for p in part] if c is None else [int(p in n) for p in part] for n in (pos, neg)]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([c] * len(part), pa.binary()), *(pa.array(n, pa.int64()) for n in columns)], names=["p", "class", "pos", "neg"])
-
     pos_n, neg_n = float(sizes[1]), float(sizes[0])
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     share = (pos + neg) / (pos_n + neg_n)
+    precision = (pos / pos_n) / ((pos / pos_n) + (neg / neg_n))
 
     def term(seen, all_, rate):
         return F.when(seen > 0, seen * F.log(seen / (rate * all_))).otherwise(0.0)
 
     g = 2 * (term(pos, pos_n, share) + term(neg, neg_n, share) + term(pos_n - pos, pos_n, 1 - share) + term(neg_n - neg, neg_n, 1 - share))
-    once = [F.when(F.col("class").isNull(), F.sum(n)).otherwise(F.max(n)).alias(n) for n in ("pos", "neg")]
-    found = (
-        rows.mapInArrow(count, "p string, class binary, pos long, neg long").groupBy("p", "class").agg(*once).groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .where((pos >= 3) & ((pos / pos_n) >= LEAST_PRECISION * ((pos / pos_n) + (neg / neg_n))))
-        .select("p", g.alias("g"), F.log(((pos + 0.5) / (pos_n + 1)) / ((neg + 0.5) / (neg_n + 1))).alias("w"))
-        .where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), F.desc(F.length("p")), "p").limit(max_patterns).collect()
-    )
-    model = ToxicityModel(_prune({r["p"]: r["w"] for r in found}))
+    weight = F.log(((pos + 0.5) / (pos_n + 1)) / ((neg + 0.5) / (neg_n + 1)))
+
+    def tied(find: Callable[[str | None], set[str]], least: float) -> list:
+        """The strongest patterns that are tied to toxic rows, with a precision of `least`."""
+        strong = tally(rows, find).where(pos >= 3).select("p", g.alias("g"), weight.alias("w"), precision.alias("precision")).where((F.col("precision") >= least) & (F.col("g") >= LEAST_G))
+        found = strong.orderBy(F.desc("g"), F.desc(F.length("p")), "p").limit(max_patterns + 1).collect()
+        if len(found) > max_patterns:
+            warnings.warn(f"more than {max_patterns} patterns are tied to toxic rows; the weakest are left out", stacklevel=3)
+        return found[:max_patterns]
+
+    found = tied(candidates, CANDIDATE_PRECISION)
+    wide = ToxicityModel({r["p"]: r["w"] for r in found})
+    clean = tally(rows, wide.phrases_in).where((neg >= LEAST_CLEAN) & (1 - precision >= LEAST_PRECISION)) if found else None
+    excuses = [r["p"] for r in clean.orderBy(F.desc("neg"), "p").select("p").limit(max_patterns).collect()] if found else []
+    if excuses:
+        wide.exceptions, wide._auto = tuple(excuses), None
+        found = tied(wide.patterns_in, LEAST_PRECISION)
+    chosen_weights = _prune({r["p"]: r["w"] for r in found if r["precision"] >= LEAST_PRECISION})
+    model = ToxicityModel(chosen_weights, tuple(excuses))
 
     def measure(batches):
         for batch in batches:
             x = [model.strength(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1).cast(pa.float64())], names=["x", "y"])
 
-    xy = rows.select("text", "toxic").mapInArrow(measure, "x double, y double").toArrow()
-    model.slope, model.bias = fit_curve(xy["x"].to_numpy(), xy["y"].to_numpy())
+    # a row per strength in steps of a hundredth, up to 100, and label
+    step = F.round(F.least("x", F.lit(100.0)), 2).alias("x")
+    xy = rows.select("text", "toxic").mapInArrow(measure, "x double, y double").groupBy(step, "y").count().orderBy("x", "y").toArrow()
+    model.slope, model.bias = fit_curve(xy["x"].to_numpy(), xy["y"].to_numpy(), xy["count"].to_numpy().astype(float))
     return model
 
 
+def tally(rows: DataFrame, find: Callable[[str | None], set[str]]) -> DataFrame:
+    """p, pos, neg: in how many texts of each label `find` finds p; rows of one class count as one text."""
+
+    def count(batches):
+        single: list[Counter] = [Counter(), Counter()]
+        shared: dict[bytes, list[set]] = {}
+        for batch in batches:
+            for t, y, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if c is None:
+                    single[y].update(find(t))
+                else:
+                    shared.setdefault(c, [set(), set()])[y].update(find(t))
+        for c, (neg, pos) in [(None, single), *shared.items()]:
+            names = [*pos, *(p for p in neg if p not in pos)]
+            for a in range(0, len(names), 50_000):
+                part = names[a : a + 50_000]
+                columns = [[n[p] for p in part] if c is None else [int(p in n) for p in part] for n in (pos, neg)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([c] * len(part), pa.binary()), *(pa.array(n, pa.int64()) for n in columns)], names=["p", "class", "pos", "neg"])
+
+    once = [F.when(F.col("class").isNull(), F.sum(n)).otherwise(F.max(n)).alias(n) for n in ("pos", "neg")]
+    return rows.mapInArrow(count, "p string, class binary, pos long, neg long").groupBy("p", "class").agg(*once).groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
 def _prune(weights: dict[str, float]) -> dict[str, float]:
     """Strongest first, without patterns that begin with a chosen one or that a chosen one begins with."""
     out: dict[str, float] = {}
@@ -197,12 +280,13 @@ def _prune(weights: dict[str, float]) -> dict[str, float]:
     return out
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 0.002, rounds: int = 50) -> tuple[float, float]:
-    """Slope and bias of a logistic curve; classes weigh the same."""
-    w = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * len(y)
+def fit_curve(x: np.ndarray, y: np.ndarray, times: np.ndarray, penalty: float = 0.002, rounds: int = 50) -> tuple[float, float]:
+    """Slope and bias of a logistic curve through points that count so many times; classes weigh the same."""
+    n = times.sum()
+    w = np.where(y > 0, 0.5 / max(1, times[y > 0].sum()), 0.5 / max(1, times[y <= 0].sum())) * n * times
     a = np.stack([x, np.ones_like(x)], 1)
     b = np.zeros(2)
-    pen = np.diag([penalty, penalty * 0.1]) * len(y) * 0.01
+    pen = np.diag([penalty, penalty * 0.1]) * n * 0.01
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
         grad = a.T @ (w * (p - y)) + pen @ b

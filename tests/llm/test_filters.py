@@ -117,6 +117,65 @@ def test_exceptions_and_length():
     assert model.strength(None) == model.strength("") == 0
 
 
+def naive_strength(model, text):
+    """Pattern by pattern and phrase by phrase, with the text's folded words in a list."""
+    words = fold(text or "").split()
+    phrases = [fold(e).split() for e in model.exceptions]
+    total = 0.0
+    for i, w in enumerate(words):
+        if any(words[j : j + len(e)] == e for e in phrases for j in range(max(0, i - len(e) + 1), i + 1)):
+            continue
+        total += sum(x for p, x in model.weights.items() if (w == p.strip() if p.endswith(" ") else w.startswith(p.strip())))
+    return total / np.log2(2 + len(words))
+
+
+def test_strength_against_a_naive_matcher(monkeypatch):
+    r = random.Random(6)
+    model = toxicity.ToxicityModel({" ba ": 2.0, " gogo": 1.5, " ti ": 0.5, " fefe ": 3.0}, ("ba ti", "go ba", "ti gogo re", "fefe fefe"))
+    texts = [" ".join(r.choice(["ba", "go", "ti", "gogo", "gogori", "fefe", "re", "B4,", "1"]) for _ in range(r.randint(0, 60))) for _ in range(300)] + [None, ""]
+    want = [naive_strength(model, t) for t in texts]
+    assert np.allclose([model.strength(t) for t in texts], want) and sum(want) > 0
+    for chunk in (1, 7, 50):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        assert np.allclose([model.strength(t) for t in texts], want)
+
+
+def test_long_texts_are_matched_whole_and_in_linear_time():
+    import time
+
+    model = toxicity.ToxicityModel({" trash ": 5.0}, ("trash can",))
+    for lead in range(toxicity.CHUNK - 8, toxicity.CHUNK + 2):
+        assert model.strength("x" * lead + " trash can") == 0 and model.strength("x" * lead + " trash cans") > 0
+    began = time.perf_counter()
+    assert model.strength("trash can " * 100_000 + "trash") > 0
+    assert time.perf_counter() - began < 5
+
+
+def test_phrases_that_excuse_are_learned(spark):
+    r = random.Random(7)
+    rows = []
+    for i in range(600):
+        words = prose(r, 40).split()
+        toxic = i % 3 == 0
+        if toxic or i % 3 == 1:
+            words[20:20] = ["trashy", prose(r, 1)] if toxic else ["trashy", "bucket"] if i % 2 else ["old", "trashy"]
+        if not toxic and i % 25 == 2:
+            words[5:5] = ["trashy", "bucket"]
+        rows.append((i, " ".join(words), int(toxic)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.fit(frame, frame)
+    assert set(model.exceptions) == {"trashy bucket", "old trashy"}
+    wrong = [i for i, t, y in rows if (model.score(t) >= 0.7) != y]
+    assert not wrong
+
+
+def test_left_out_patterns_are_told(toxic):
+    docs, labels = toxic
+    with pytest.warns(UserWarning, match="more than 2 patterns"):
+        model = toxicity.fit(docs, labels, max_patterns=2)
+    assert 0 < len(model.weights) <= 2
+
+
 def test_toxicity_of_odd_rows(spark, odd, odd_rows, none, toxic):
     labels = spark.createDataFrame([(5, None, 1), (5, 1, 0), (None, 1, 1), (7, 1, None), (100, 1, 0), (101, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.documents_toxicity(odd, labels).count() == len(odd_rows)
