@@ -14,17 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df computed once and written to spark.checkpoint.dir (a temporary folder where the cluster names none):
-    cuts the lineage, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the context's checkpoint folder. Where neither is set, a temporary folder of this
+    process in local mode; a cluster without a shared folder is an error."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_docloom_settled", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or getattr(sc, "_docloom_settled", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="docloom-settled-")
         atexit.register(shutil.rmtree, named, True)
         sc._docloom_settled = named
-    path = f"{named.rstrip('/')}/docloom-settled-{uuid.uuid4().hex}"
+    return named
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df computed once and written to the shared folder: cuts the lineage, and a lost executor loses nothing of it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/docloom-settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
