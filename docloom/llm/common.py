@@ -45,16 +45,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of this
-    process where the cluster names none (tests in local mode)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder of the context. Where
+    neither is set, a temporary one of this process in local mode; a cluster without a shared folder is an error."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        named = getattr(sc, "_docloom_shared", None)
-        if named is None:
-            named = tempfile.mkdtemp(prefix="docloom-shared-")
-            atexit.register(shutil.rmtree, named, True)
-            sc._docloom_shared = named
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="docloom-shared-")
+        atexit.register(shutil.rmtree, named, True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named

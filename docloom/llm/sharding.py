@@ -12,7 +12,7 @@ again after an executor is lost deals the same. Every shard consists of several
 cell is what one task permutes, and slots count through a shard's cells.
 
 Defined results: a null text has size 8 and the checksum of no bytes; repeated rows are placed each.
-An empty table gives an empty result.
+An empty table gives an empty result. Columns that a result would clash with are refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, prepare
 
-SHARDS, SEED = 24, 10
+SHARDS, SEED, CELL_ROWS = 24, 10, 1 << 17
 #: monotonically_increasing_id holds the partition above these bits, and the row's place below.
 PLACE_BITS = 33
 
@@ -85,7 +85,6 @@ def shuffle_to_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, cel
     prepare(spark)
     if {shard_out, slot_out} & set(df.columns):
         raise ValueError(f"{shard_out} or {slot_out} is already a column")
-    per = cells_per_shard or max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / shards))
     origin = free_name(df.columns, "_origin")
     cell = free_name([*df.columns, origin], "_cell")
     marked = df.withColumn(origin, F.monotonically_increasing_id())
@@ -93,7 +92,9 @@ def shuffle_to_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, cel
     held = dict(sorted((r[0], r[1]) for r in counted))
     number = {p: i for i, p in enumerate(held)}
     sizes = np.array(list(held.values()), np.int64)
-    cells = cell_sizes(int(sizes.sum()), shards, per)
+    rows = int(sizes.sum())
+    per = cells_per_shard or max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / shards), math.ceil(rows / shards / CELL_ROWS))
+    cells = cell_sizes(rows, shards, per)
     shared = spark.sparkContext.broadcast((number, sizes, cells))
     dealt: dict[int, np.ndarray] = {}
 
@@ -113,12 +114,16 @@ def shuffle_to_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, cel
         return pd.Series(out)
 
     sent = marked.withColumn(cell, deal(F.col(origin))).repartitionById(max(1, len(cells)), F.col(cell))
-    before = np.concatenate([np.cumsum(np.concatenate([[0], c[:-1]])) for c in cells.reshape(shards, per)])
-    offset = F.element_at(F.lit([int(x) for x in before]), F.col(cell) + 1)
     from pyspark.sql import Window as W
 
     again = W.partitionBy(cell).orderBy(F.xxhash64(F.lit(seed), origin), origin)
-    return sent.withColumns({slot_out: (offset + F.row_number().over(again) - 1).cast("long"), shard_out: F.floor(F.col(cell) / per).cast("int")}).drop(cell, origin)
+    shard, nth = F.floor(F.col(cell) / per).cast("int"), (F.col(cell) % per).cast("long")
+    held_by = F.lit(rows // shards) + (shard < rows % shards).cast("long")  # the sizes of cell_sizes
+    even, odd = F.floor(held_by / per), held_by % per
+    place = F.row_number().over(again)
+    lost = F.lead(origin).over(again).isNull() & (place != even + (nth < odd).cast("long"))
+    slot = F.when(lost, F.raise_error(F.lit("a partition held other rows when it was read again"))).otherwise(nth * even + F.least(nth, odd) + place - 1)
+    return sent.withColumns({slot_out: slot.cast("long"), shard_out: shard}).drop(cell, origin)
 
 
 def documents_shards(docs: DataFrame) -> DataFrame:

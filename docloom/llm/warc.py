@@ -1,9 +1,9 @@
 """Content-addressed web archive.
 
 An archive is two tables. `payloads` holds each distinct payload once, under its SHA-256; `records`
-holds the exact bytes of every WARC record's header block, and the digest of the payload that belongs
-to it. A record is its header block, the payload that a join finds (responses only) and the closing
-blank lines. What is read back is verified: a payload must hash to the digest that it is stored under.
+holds the exact bytes of every WARC record in front of its payload (the record's header block, and a response's HTTP
+head), and the digest of the payload that belongs to it. A record is these, the payload that a join finds (responses
+only) and the closing blank lines. Every record has an id of its own. What is read back is verified: a payload must hash to the digest that it is stored under.
 
 Everything is DataFrame operations. Payloads are thinned to one per digest and task before they are
 shuffled, so a payload that a third of all pages share moves once per task.
@@ -18,19 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, materialise
 
 LEAST = 1000
 DATE = "2024-01-01T00:00:00Z"
 EOL = "\r\n"
 
 
-def _record_id(key: Column) -> Column:
-    h = F.sha1(F.concat(F.lit("record:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
-    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
-
-
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, date: str = DATE) -> None:
     """Write pages as an archive at `path` (a folder that all executors share)."""
     raw = pages.select(
@@ -40,26 +34,33 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     hashed = raw.withColumn("sha256", F.sha2("payload", 256))
     hashed.select("sha256", "payload").dropDuplicates(["sha256"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
     slim = hashed.select("key", "url", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
-    last = slim.where(F.col("size") >= least).groupBy(F.col("sha256").alias("of")).agg(F.max("key").alias("last_key"))
+    # settled with their ids, so that a revisit names the record that is written; the last ones apart, so that the join
+    # may split a payload that many pages share
+    slim = materialise(slim.withColumn("id", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))))
+    last = materialise(slim.where(F.col("size") >= least).groupBy(F.col("sha256").alias("of")).agg(F.max(F.struct("key", "id")).alias("last")))
     told = slim.join(last, slim.sha256 == last.of, "left")
-    revisit = F.col("last_key").isNotNull() & ~F.col("key").eqNullSafe(F.col("last_key"))
+    last_key = F.col("last.key")
+    revisit = F.col("last").isNotNull() & ~F.col("key").eqNullSafe(last_key)
 
     def line(name: str, value) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit(EOL))
 
+    size = F.col("size").cast("string")
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}"), line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", size), F.lit(EOL))
     head = F.concat(
         F.lit(f"WARC/1.1{EOL}"),
         F.when(revisit, line("WARC-Type", F.lit("revisit"))).otherwise(line("WARC-Type", F.lit("response"))),
-        line("WARC-Record-ID", _record_id(F.col("key"))), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", F.col("url")),
+        line("WARC-Record-ID", F.col("id")), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(revisit, F.concat(
             line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-            line("WARC-Refers-To", _record_id(F.col("last_key"))),
-            line("X-Refers-To-Key", F.col("last_key").cast("string")),
+            line("WARC-Refers-To", F.col("last.id")),
+            F.coalesce(line("X-Refers-To-Key", last_key.cast("string")), F.lit("")),
         )).otherwise(F.lit("")),
         line("X-Key", F.coalesce(F.col("key").cast("string"), F.lit(""))),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("size").cast("string"))), F.lit(EOL),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Length", F.when(revisit, F.lit("0")).otherwise((F.octet_length(http) + F.col("size")).cast("string"))), F.lit(EOL),
+        F.when(revisit, F.lit("")).otherwise(http),
     )
     told.select(head.cast("binary").alias("header"), "sha256").write.parquet(f"{path}/records")
 

@@ -1,7 +1,10 @@
 """Archives, main text, conversations and shards."""
 
 import hashlib
+import os
 import random
+import re
+import types
 import zlib
 
 import numpy as np
@@ -30,8 +33,9 @@ def test_archive_restores_records(spark, tmp_path):
     warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
     assert spark.read.parquet(str(tmp_path / "w/payloads")).count() == 2
     records = {r["key"]: bytes(r["record"]) for r in warc.read_records(spark, str(tmp_path / "w")).collect()}
-    head, body = records[3].split(b"\r\n\r\n", 1)
-    assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and b"Content-Length: 5" in head and body == "päge".encode() + b"\r\n\r\n"
+    head, http, body = records[3].split(b"\r\n\r\n", 2)
+    assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and f"Content-Length: {len(http) + 4 + 5}".encode() in head
+    assert http.startswith(b"HTTP/1.1 200 OK\r\n") and http.endswith(b"Content-Length: 5") and body == "päge".encode() + b"\r\n\r\n"
     assert b"WARC-Type: revisit" in records[1] and b"WARC-Refers-To: " in records[1] and records[1].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
     damaged = spark.read.parquet(str(tmp_path / "w/payloads")).selectExpr("sha256", "encode('z', 'UTF-8') as payload")
     damaged.write.parquet(str(tmp_path / "d/payloads"))
@@ -39,6 +43,21 @@ def test_archive_restores_records(spark, tmp_path):
         warc.verified_payloads(spark, str(tmp_path / "d")).collect()
 
 
+def test_every_record_has_an_id_of_its_own(spark, tmp_path):
+    rows = [(i, "u", "x" * 2000) for i in (1, 2, 3, 3, None)] + [(4, "u", "small")] * 3
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), str(tmp_path / "w"))
+    found = [(r["key"], r["record_type"], *re.findall(r"WARC-(?:Record-ID|Refers-To): (\S+)", bytes(r["header"]).decode())) for r in warc.read_headers(spark, str(tmp_path / "w")).collect()]
+    ids = {x[2]: x[0] for x in found}
+    assert len(ids) == len(rows)
+    assert sorted(str(x[0]) for x in found if x[1] == "revisit") == ["1", "2", "None"] and {ids[x[3]] for x in found if x[1] == "revisit"} == {3}
+
+
+def test_a_very_long_payload(spark):
+    rows = [(i, "u", "é" * 3_000_000) for i in range(3)]
+    got = warc.pages_archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["refers_to"]) for r in got) == [(0, 6_000_000, 2), (1, 6_000_000, 2), (2, 6_000_000, None)]
+
+
 def test_empty_archive(spark):
     assert warc.pages_archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -200,3 +219,43 @@ def test_same_seed_same_places(spark):
     a, b = (sorted(sharding.shuffle_to_shards(df, 7, 3).collect()) for _ in range(2))
     assert a == b and a != sorted(sharding.shuffle_to_shards(df, 7, 4).collect())
     assert prose(random.Random(0), 3)
+
+
+def test_cells_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 7)
+    out = sharding.shuffle_to_shards(spark.range(0, 1000, 1, 5), 3).toPandas()
+    assert sorted(out.id) == list(range(1000))
+    assert {s: sorted(g.slot) for s, g in out.groupby("shard")} == {s: list(range(334 if s == 0 else 333)) for s in range(3)}
+
+
+def test_other_rows_in_the_second_pass_end_the_job(spark, tmp_path):
+    def shrinking(batches):
+        from pyspark import TaskContext
+
+        mark = str(tmp_path / f"read-{TaskContext.get().partitionId()}")
+        again = os.path.exists(mark)
+        open(mark, "w").close()
+        for i, b in enumerate(batches):
+            yield b.slice(0, b.num_rows - 1) if again and i == 0 else b
+
+    df = spark.range(0, 400, 1, 4).mapInArrow(shrinking, "id long")
+    with pytest.raises(Exception, match="held other rows"):
+        sharding.shuffle_to_shards(df, 3).collect()
+
+
+def test_clashing_columns_are_refused(odd):
+    with pytest.raises(ValueError, match="already a column"):
+        sharding.shuffle_to_shards(odd, slot_out="piece")
+    with pytest.raises(ValueError, match="already a column"):
+        maintext.extract(odd.selectExpr("doc_id", "text", "'' as html"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from docloom.llm.common import shared_folder
+
+    nothing = types.SimpleNamespace(get=lambda *a: None)
+    cluster = types.SimpleNamespace(master="spark://host:7077", getConf=lambda: nothing, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(types.SimpleNamespace(conf=nothing, sparkContext=cluster))
+    cluster.getCheckpointDir = lambda: "hdfs://host/folder"
+    assert shared_folder(types.SimpleNamespace(conf=nothing, sparkContext=cluster)) == "hdfs://host/folder"
