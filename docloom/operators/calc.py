@@ -1,25 +1,34 @@
-"""Evaluation of all numbers and formulas, level by level.
+"""Evaluation of all numbers and formulas.
 
-A formula is evaluated once all cells that it refers to have a result; the loop ends when no formula is
-ready. Failures are rows. What never becomes ready is a cycle, or depends on one. The serial semantics (the
-first failure in depth-first order of the fields) are found for each document that fails: from the level
-results where they tell, and by replaying the unresolved rest where a cycle is in reach.
+A document of at most WHOLE cells is evaluated by one task, in topological order; a larger one level by level: a formula
+is evaluated once all cells that it refers to have a result, each level one join and one aggregation in the JVM, until
+at most WHOLE of its formulas are left, which one task finishes. Both give the same results. Failures are rows. What
+never becomes ready is a cycle, or depends on one. The serial semantics (the first failure in depth-first order of the
+fields) are found for each document that fails: from the results where they tell, and by replaying the unresolved rest
+where a cycle is in reach.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import CYCLE, MISSING, NOT_FINITE, NOT_NUMERIC, bad, good, run_postfix
-from ..model import DocumentSet, is_finite
+from ..functions.columns import CYCLE, MISSING, NOT_FINITE, NOT_NUMERIC, RESULT, ZERO, bad, good, run_postfix
+from ..model import EXPR, DocumentSet, is_finite
 from ..session import settle, ship
 from .graph import edges as edges_of
 
 KEY = ["doc", "entity", "field"]
+#: Cells of a document that one task evaluates whole.
+WHOLE = 1 << 16
+SOLVED = f"doc string, entity string, field string, expr {EXPR}, result {RESULT}"
 ERROR = "doc string, code string, at_entity string, at_field string, path array<string>"
 
 
@@ -139,30 +148,169 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
     raise AssertionError("an unresolved formula was resolved")
 
 
+# --- one document in one task -------------------------------------------------------------------------
+
+
+def run_python(nodes: list, found: dict, entity: str, field: str) -> tuple:
+    """(value, code, at_entity, at_field) of a postfix array, as columns.run_postfix has it; found holds such results by (entity, field)."""
+    stack: list[float] = []
+    for n in nodes:
+        op = n["op"]
+        if op == "reference":
+            x, *failure = found.get((n["e"], n["f"]), (None, MISSING, n["e"], n["f"]))
+            if failure[0] is not None:
+                return None, *failure
+        elif op == "number":
+            x = n["num"]
+        else:
+            b, a = stack.pop(), stack.pop()
+            if op == "divide" and b == 0:
+                return None, ZERO, entity, field
+            x = a + b if op == "add" else a - b if op == "subtract" else a * b if op == "multiply" else a / b if op == "divide" else min(a, b) if op == "minimum" else max(a, b)
+        if not math.isfinite(x):
+            return None, NOT_FINITE, entity, field
+        stack.append(x)
+    return stack[0], None, None, None
+
+
+def solve(formulas: dict[tuple, list], found: dict[tuple, tuple]) -> Iterator[tuple]:
+    """((entity, field), result) of the formulas of a document, in topological order; found is extended. The rest is left out."""
+    refs = {k: {(n["e"], n["f"]) for n in nodes if n["op"] == "reference"} for k, nodes in formulas.items()}
+    waits = {k: sum(d in formulas and d not in found for d in deps) for k, deps in refs.items()}
+    users: dict[tuple, list] = {}
+    for k, deps in refs.items():
+        for d in deps:
+            if d in formulas and d not in found:
+                users.setdefault(d, []).append(k)
+    ready = [k for k, n in waits.items() if not n]
+    while ready:
+        k = ready.pop()
+        found[k] = run_python(formulas[k], found, *k)
+        yield k, found[k]
+        for u in users.get(k, ()):
+            waits[u] -= 1
+            if not waits[u]:
+                ready.append(u)
+
+
+_NODES = pa.list_(pa.struct([("op", pa.string()), ("num", pa.float64()), ("e", pa.string()), ("f", pa.string())]))
+_RESULT = pa.struct([("value", pa.float64()), ("code", pa.string()), ("at_entity", pa.string()), ("at_field", pa.string())])
+
+
+def solved_whole(rows: DataFrame) -> DataFrame:
+    """SOLVED of the formulas in rows, one document in one task: entity, field, num and expr (of which one is set, or neither
+    for a cell that is no number), and found (what is known of other cells). Of solved formulas expr is null, of others result."""
+    ship(rows.sparkSession)
+
+    def of_document(doc: str, held: list) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, tuple] = {}
+        formulas: dict[tuple, list] = {}
+        for entity, field, num, expr, known in held:
+            k = (entity, field)
+            if expr is not None:
+                formulas[k] = expr
+                found.update({(x["k"]["e"], x["k"]["f"]): tuple(x["result"].values()) for x in known or ()})
+            elif num is None:
+                found[k] = (None, NOT_NUMERIC, *k)
+            else:
+                found[k] = (num, None, None, None) if math.isfinite(num) else (None, NOT_FINITE, *k)
+        out = [(k, None, dict(zip(("value", "code", "at_entity", "at_field"), r, strict=True))) for k, r in solve(formulas, found)]
+        out += [(k, nodes, None) for k, nodes in formulas.items() if k not in found]
+        for a in range(0, len(out), 10_000):
+            keys, nodes, results = zip(*out[a : a + 10_000], strict=True)
+            columns = [pa.array([doc] * len(keys)), pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array(nodes, _NODES), pa.array(results, _RESULT)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "entity", "field", "expr", "result"])
+
+    def run(batches):
+        doc, held = None, []
+        for batch in batches:
+            docs, *others = (c.to_pylist() for c in batch.columns)
+            for d, *row in zip(docs, *others, strict=True):
+                if d != doc and held:
+                    yield from of_document(doc, held)
+                    held = []
+                doc = d
+                held.append(row)
+        if held:
+            yield from of_document(doc, held)
+
+    return rows.select("doc", "entity", "field", "num", "expr", "found").repartition("doc").sortWithinPartitions("doc").mapInArrow(run, SOLVED)
+
+
+# --- large documents, level by level -------------------------------------------------------------------
+
+FOUND = f"array<struct<k:struct<e:string,f:string>,result:{RESULT}>>"
+
+
+def _gathered(told: DataFrame) -> DataFrame:
+    """A row per formula: KEY, expr, found, open (references without a result). told has a row per formula and open
+    reference d: KEY, expr, found, d, and its result where there is one now."""
+    d = F.col("d")
+    entry = F.when(F.col("result").isNotNull(), F.struct(d.alias("k"), "result"))
+    per = told.groupBy(*KEY).agg(
+        F.first("expr").alias("expr"), F.first("found").alias("before"), F.collect_list(entry).alias("now"), F.collect_list(F.when(d.isNotNull() & F.col("result").isNull(), d)).alias("open")
+    )
+    return per.select(*KEY, "expr", F.concat("before", "now").alias("found"), "open")
+
+
+def _stepped(told: DataFrame) -> DataFrame:
+    """_gathered, settled, with the result where no reference is open; what only open formulas need is null elsewhere."""
+    result = F.when(F.size("open") == 0, run_postfix(F.col("expr"), F.map_from_entries(F.col("found")), F.col("entity"), F.col("field")))
+    # in a projection after the result's: in one with it, generated code gave null results (Spark 4.1.2)
+    left = [F.when(F.col("result").isNull(), F.col(c)).alias(c) for c in ("expr", "found", "open")]
+    return settle(_gathered(told).withColumn("result", result).select(*KEY, *left, "result"))
+
+
+def _by_levels(cells: DataFrame) -> list[DataFrame]:
+    """SOLVED of the formulas of large documents, as settled tables."""
+    refs = F.array_distinct(F.transform(F.filter("expr", lambda n: n.op == "reference"), lambda n: F.struct(n.e.alias("e"), n.f.alias("f"))))
+    formulas = cells.where("kind = 'formula'").select(*KEY, "expr", F.lit(None).cast(FOUND).alias("found"), F.explode_outer(refs).alias("d"))
+    at = [F.col("d.e").alias("dep_entity"), F.col("d.f").alias("dep_field")]
+    result = F.when(F.col("kind") == "number", _number()).when(F.col("kind") != "formula", bad(NOT_NUMERIC, F.col("entity"), F.col("field")))
+    known = cells.select("doc", F.col("entity").alias("dep_entity"), F.col("field").alias("dep_field"), F.lit(True).alias("there"), result.alias("result"))
+    gone = F.when(F.col("there").isNull() & F.col("d").isNotNull(), bad(MISSING, F.col("d.e"), F.col("d.f")))
+    told = formulas.select("*", *at).join(known, ["doc", "dep_entity", "dep_field"], "left").withColumn("result", F.coalesce("result", gone))
+    out: list[DataFrame] = []
+    state = _stepped(told.withColumn("found", F.array().cast(FOUND)))
+    while True:
+        solved, rest = state.where("result is not null"), state.where("result is null")
+        out.append(solved.select(*KEY, "expr", "result"))
+        open_ = state.groupBy("doc").agg(F.count_if(F.col("result").isNull()).alias("n"), F.count_if(F.col("result").isNotNull()).alias("done"))
+        most, few, done = open_.agg(F.max("n"), F.count_if((F.col("n") > 0) & (F.col("n") <= WHOLE)), F.sum("done")).first()
+        if not most:
+            return out
+        new = solved.select("doc", F.col("entity").alias("dep_entity"), F.col("field").alias("dep_field"), "result")
+        told = rest.select(*KEY, "expr", "found", F.explode("open").alias("d")).select("*", *at).join(new, ["doc", "dep_entity", "dep_field"], "left")
+        if few:  # one task solves what is left of a document
+            small = None if most <= WHOLE else settle(open_.where((F.col("n") > 0) & (F.col("n") <= WHOLE)).select("doc"))
+            last = _gathered(told if small is None else told.join(small, "doc", "left_semi"))
+            out.append(settle(solved_whole(last.withColumn("num", F.lit(None).cast("double")))))
+            if small is None:
+                return out
+            rest, told = (t.join(small, "doc", "left_anti") for t in (rest, told))
+        if not done:
+            return [*out, rest.select(*KEY, "expr", "result")]
+        state = _stepped(told)
+
+
+def _number():
+    return F.when(is_finite(F.col("num")), good(F.col("num"))).otherwise(bad(NOT_FINITE, F.col("entity"), F.col("field")))
+
+
 def calculate(docs: DocumentSet) -> Calculation:
     """Results of all documents of the set."""
-    all_edges = edges_of(docs)
-    cells = docs.cells
-    finite = F.when(is_finite(F.col("num")), good(F.col("num"))).otherwise(bad(NOT_FINITE, F.col("entity"), F.col("field")))
-    results = cells.where("kind = 'number'").select(*KEY, "kind", finite.alias("result"))
-    pending = cells.where("kind = 'formula'").select(*KEY, "expr")
-    # what is known of a cell from the start; null for a formula
-    known = cells.select("doc", F.col("entity").alias("dep_entity"), F.col("field").alias("dep_field"), F.lit(True).alias("there"), F.when(F.col("kind") == "number", finite).when(F.col("kind") != "formula", bad(NOT_NUMERIC, F.col("entity"), F.col("field"))).alias("result"))
-    gone = F.when(F.col("there").isNull(), bad(MISSING, F.col("dep_entity"), F.col("dep_field")))
-    told = settle(all_edges.join(known, ["doc", "dep_entity", "dep_field"], "left").select(*KEY, "dep_entity", "dep_field", F.coalesce("result", gone).alias("result")))
-    entry = F.struct(F.struct(F.col("dep_entity").alias("e"), F.col("dep_field").alias("f")).alias("k"), "result")
-    while True:
-        per = told.groupBy(*KEY).agg(F.count_if(F.col("result").isNull()).alias("open"), F.map_from_entries(F.collect_list(entry)).alias("found"))
-        ready = F.coalesce("open", F.lit(0)) == 0
-        # evaluation costs more than its bytes suggest, so formulas are dealt out by key, as the aggregate is
-        step = settle(pending.repartition(*KEY).join(per, KEY, "left").select(*KEY, "expr", ready.alias("ready"), F.when(ready, run_postfix(F.col("expr"), F.col("found"), F.col("entity"), F.col("field"))).alias("result")))
-        fresh = step.where("ready").select(*KEY, F.lit("formula").alias("kind"), "result")
-        pending = step.where("not ready").select(*KEY, "expr")
-        if fresh.isEmpty():
-            break
-        results = results.unionAll(fresh)
-        if pending.isEmpty():
-            break
-        new = fresh.select("doc", F.col("entity").alias("dep_entity"), F.col("field").alias("dep_field"), F.col("result").alias("new"))
-        told = settle(told.join(pending.select(*KEY), KEY, "left_semi").join(new, ["doc", "dep_entity", "dep_field"], "left").select(*KEY, "dep_entity", "dep_field", F.coalesce("result", "new").alias("result")))
-    return Calculation(docs, all_edges, results, pending)
+    cells = docs.cells.select(*KEY, "kind", "num", "expr")
+    sizes = cells.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    least, most = sizes.agg(F.min("n"), F.max("n")).first()
+    small, large = (cells, None) if not most or most <= WHOLE else (None, cells)
+    if most and least <= WHOLE < most:
+        big = settle(sizes.where(F.col("n") > WHOLE).select("doc"))
+        small, large = cells.join(big, "doc", "left_anti"), cells.join(big, "doc", "left_semi")
+    parts = _by_levels(large) if large is not None else []
+    if small is not None:
+        with_formulas = small.withColumn("found", F.lit(None).cast(FOUND))
+        parts.append(settle(solved_whole(with_formulas)))
+    solved = reduce(DataFrame.unionAll, parts)
+    numbers = cells.where("kind = 'number'").select(*KEY, "kind", _number().alias("result"))
+    results = numbers.unionAll(solved.where("result is not null").select(*KEY, F.lit("formula").alias("kind"), "result"))
+    return Calculation(docs, edges_of(docs), results, solved.where("result is null").select(*KEY, "expr"))

@@ -5,6 +5,7 @@ from helpers import Failed, document, evaluate, field, flag, formula, link, numb
 from pyspark.sql import functions as F
 
 from docloom.model import from_python, to_python
+from docloom.operators import calc, graph
 from docloom.operators import edits as W
 from docloom.operators.calc import CalculationError, calculate
 from docloom.operators.describe import SuggestionError, counts, describe_documents, explain_field, explain_formula, overview, suggest_field_change
@@ -12,6 +13,7 @@ from docloom.operators.diff import in_order, render, semantic_diff
 from docloom.operators.graph import affected_by, dependencies, edges
 from docloom.operators.merge import MergeError, conflict_side_text, merge, merge_parts
 from docloom.operators.validate import findings_of, sorted_findings, validate
+from docloom.session import shared_folder
 
 
 def test_every_finding(spark):
@@ -53,7 +55,9 @@ def test_every_finding(spark):
     assert findings_of(from_python(spark, {"d": d})) == want
 
 
-def test_calculation_agrees_with_depth_first(spark):
+@pytest.mark.parametrize("whole", [1 << 16, 9, 2])  # all documents in one task each, some, and nearly none
+def test_calculation_agrees_with_depth_first(spark, whole, monkeypatch):
+    monkeypatch.setattr(calc, "WHOLE", whole)
     r = random.Random(11)
     docs = {f"d{i}": random_document(r) for i in range(60)}
     docs |= {
@@ -81,6 +85,46 @@ def test_calculation_agrees_with_depth_first(spark):
         c.check("cycle")
 
 
+@pytest.mark.parametrize("whole", [1 << 16, 10])
+def test_long_chains(spark, whole, monkeypatch):
+    monkeypatch.setattr(calc, "WHOLE", whole)
+    length = 3000 if whole > 10 else 13
+    chain = {"x0": number(1)} | {f"x{i}": formula(f"[a.x{i - 1}] + 1") for i in range(1, length)}
+    docs = from_python(spark, {"chain": document({"a": ("s", chain)}), "short": document({"a": ("s", {"x0": number(2), "x1": formula("[a.x0] * 2")})})})
+    values = {(v["doc"], v["field"]): v["value"] for v in calculate(docs).values.collect()}
+    assert values == {("chain", f"x{i}"): i + 1.0 for i in range(length)} | {("short", "x0"): 2.0, ("short", "x1"): 4.0}
+
+
+@pytest.mark.parametrize("whole", [1 << 16, 8, 0])
+def test_impact_agrees_with_a_walk(spark, whole, monkeypatch):
+    monkeypatch.setattr(graph, "WHOLE", whole)
+    r = random.Random(21)
+    links = {(d, r.randrange(12), r.randrange(12)) for d in ("a", "b", "c") for _ in range({"a": 14, "b": 5, "c": 30}[d])}
+    all_edges = spark.createDataFrame([(d, "e", f"f{x}", "e", f"f{y}") for d, x, y in links], "doc string, entity string, field string, dep_entity string, dep_field string")
+    seeds = spark.createDataFrame([(d, "e", f"f{x}") for d in ("a", "b", "c", "none") for x in (0, 3, 3, 20)], "doc string, entity string, field string")
+    want = set()
+    for d in ("a", "b", "c"):
+        for x in (0, 3):
+            seen, todo = set(), [x]
+            while todo:
+                y = todo.pop()
+                new = {u for dd, u, t in links if dd == d and t == y} - seen
+                seen |= new
+                todo += new
+            want |= {(d, f"f{x}", f"f{u}") for u in seen - {x}}
+    got = [(g["doc"], g["seed_field"], g["field"]) for g in affected_by(all_edges, seeds).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    nothing = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(master="yarn", getConf=lambda: nothing, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf=nothing, sparkContext=cluster))
+
+
 def test_dependencies_and_impact(spark):
     docs = from_python(spark, {"d": document({"sword": ("w", {"damage": number(100), "interval": number(1.25), "dps": formula("[sword.damage]/[sword.interval]"), "burst": formula("[sword.dps]*2+[sword.dps]"), "fixed": formula("1+1")})})})
     deps = {r["field"]: [d["field"] for d in r["dependencies"]] for r in dependencies(docs).collect()}
