@@ -41,6 +41,10 @@ class DocumentSet:
         """The document of one key."""
         return DocumentSet(*(t.where(F.col("doc") == doc) for t in self.tables()))
 
+    def without(self, docs: DataFrame) -> DocumentSet:
+        """The documents but those that docs (one column, doc) names."""
+        return DocumentSet(*(t.join(docs, "doc", "left_anti") for t in self.tables()))
+
     def tables(self) -> tuple[DataFrame, ...]:
         return self.documents, self.schemas, self.schema_fields, self.entities, self.cells
 

@@ -87,6 +87,18 @@ class Calculation:
             raise CalculationError(row["code"], f"{row['at_entity']}.{row['at_field']}", row["path"])
 
 
+def error_text(errors: DataFrame) -> DataFrame:
+    """doc, path, code, message of first errors, in the words of CalculationError."""
+    ship(errors.sparkSession)
+
+    @F.pandas_udf("string")
+    def say(x: pd.DataFrame) -> pd.Series:
+        return pd.Series([str(CalculationError(c, at, None if p is None else list(p))) for c, at, p in zip(x["code"], x["path"], x["trail"], strict=True)], dtype=object)
+
+    named = errors.select("doc", F.concat_ws(".", "at_entity", "at_field").alias("path"), "code", F.col("path").alias("trail"))
+    return named.select("doc", "path", "code", say(F.struct("path", "code", "trail")).alias("message"))
+
+
 def _leaves(docs: DocumentSet, known: DataFrame) -> DataFrame:
     """Results of cells that are no numbers, beside the known ones."""
     other = docs.cells.where("kind not in ('number', 'formula')").select("doc", F.col("entity").alias("dep_entity"), F.col("field").alias("dep_field"), bad(NOT_NUMERIC, F.col("entity"), F.col("field")).alias("result"))

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import debug_string, plain
 from ..model import VALUE, DocumentSet, comparable
-from ..session import ship
-from .calc import Calculation, CalculationError, calculate
+from ..session import settle, ship
+from .calc import Calculation, CalculationError, calculate, error_text
 from .graph import affected_by
 
 VALUE_TYPE = "struct<kind:string,num:double,txt:string,flag:boolean,ref:string,expr:array<struct<op:string,num:double,e:string,f:string>>>"
@@ -114,6 +114,16 @@ def semantic_diff(before: DocumentSet, after: DocumentSet, before_calc: Calculat
     return reduce(DataFrame.unionAll, [document_changes(before, after), schema_changes(before, after), entities, fields, impacts(*calcs, fields)])
 
 
+def diff_each(before: DocumentSet, after: DocumentSet) -> tuple[DataFrame, DataFrame]:
+    """(changes, failures): semantic_diff of every pair that can be calculated, and of the others doc, side, path, code,
+    message of the first error, before's first. One bad document stops no other."""
+    errors = [error_text(calculate(docs).first_errors()).withColumn("side", F.lit(said)) for said, docs in (("original", before), ("changed", after))]
+    first = settle(errors[0])
+    failures = first.unionAll(settle(errors[1].join(first.select("doc"), "doc", "left_anti").select(*first.columns)))
+    bad = failures.select("doc").distinct()
+    return semantic_diff(before.without(bad), after.without(bad)), failures.select("doc", "side", "path", "code", "message")
+
+
 def in_order(changes: DataFrame) -> DataFrame:
     """Documents; then schemas and their fields; then entities and theirs; then impacts."""
     return changes.orderBy("doc", "section", "k1", "ord", "k2")

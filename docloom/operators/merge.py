@@ -21,7 +21,7 @@ from ..model import VALUE, DocumentSet, comparable
 from ..session import settle
 from .calc import CalculationError, calculate
 from .diff import DEFINITION_TYPE, VALUE_TYPE
-from .validate import findings_of
+from .validate import faults, findings_of
 
 SIDES = ("base", "ours", "theirs")
 PART = (
@@ -164,6 +164,25 @@ def merge(base: DocumentSet, ours: DocumentSet, theirs: DocumentSet) -> Merge:
     return Merge(conflicts.orderBy("doc", "path"), clean)
 
 
+def merge_each(base: DocumentSet, ours: DocumentSet, theirs: DocumentSet) -> tuple[Merge, DataFrame]:
+    """The merge of all documents whose inputs pass the gates, and failures as rows: doc, side, path, code, message. side is
+    the first input that fails, or merged; a document has a row per finding, or one for its calculation. One bad
+    document stops no other."""
+    sets, failures = [base, ours, theirs], []
+    for i, side in enumerate(SIDES):
+        found = faults(sets[i]).select("doc", F.lit(side).alias("side"), "path", "code", "message")
+        failures.append(found)
+        if not found.isEmpty():
+            bad = settle(found.select("doc").distinct())
+            sets = [d.without(bad) for d in sets]
+    out = merge_parts(*sets)
+    conflicts = settle(out.conflicts)
+    clean = DocumentSet(*map(settle, out.merged.without(conflicts.select("doc").distinct()).tables()))
+    found = faults(clean).select("doc", F.lit("merged").alias("side"), "path", "code", "message")
+    merged = clean if found.isEmpty() else clean.without(settle(found.select("doc").distinct()))
+    return Merge(conflicts, merged), reduce(DataFrame.unionAll, [*failures, found])
+
+
 def diagnostics_text(found: list[tuple[str, str, str]]) -> str:
     from ..functions.numbers import debug_string
 

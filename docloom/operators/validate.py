@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DocumentSet, is_blank, is_finite, is_identifier
+from ..session import settle
 
 #: In their order.
 CODES = (
@@ -128,6 +129,15 @@ def sorted_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy("doc", "path", place, "message")
 
 
+def faults(docs: DocumentSet) -> DataFrame:
+    """doc, path, code, message: the findings of each document, or, where it has none, the first error of its calculation."""
+    from .calc import calculate, error_text
+
+    found = settle(validate(docs))
+    sound = docs if found.isEmpty() else docs.without(settle(found.select("doc").distinct()))
+    return found.unionAll(settle(error_text(calculate(sound).first_errors())))
+
+
 def findings_of(docs: DocumentSet) -> list[tuple[str, str, str]]:
     """(path, code, message) of the findings, in order, on the driver: for single documents."""
     return [(r["path"], r["code"], r["message"]) for r in sorted_findings(validate(docs)).collect()]

@@ -134,6 +134,19 @@ def export_texts(calculation: Calculation) -> DataFrame:
     return _gathered(calculation.docs).join(values, "doc", "left").mapInPandas(run, "doc string, text string")
 
 
+def values_texts(calculation: Calculation) -> DataFrame:
+    """doc, text: the calculated values of every document."""
+    ship(calculation.docs.spark)
+    values = calculation.docs.documents.select("doc").join(calculation.values.groupBy("doc").agg(F.collect_list(F.struct("entity", "field", "value")).alias("values")), "doc", "left")
+
+    def run(frames):
+        for frame in frames:
+            texts = [encode_values({(v["entity"], v["field"]): v["value"] for v in ([] if x is None else x)}) for x in frame["values"]]
+            yield pd.DataFrame({"doc": frame["doc"], "text": texts})
+
+    return values.mapInPandas(run, "doc string, text string")
+
+
 def save(path: str, text: str) -> None:
     """Write a new file; an existing one is never replaced."""
     with open(path, "x", encoding="utf-8", newline="") as f:

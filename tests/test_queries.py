@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from docloom.plans import semantics  # noqa: F401, adds to the catalog
 from docloom.plans.catalog import QUERIES, SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
