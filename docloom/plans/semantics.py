@@ -235,7 +235,7 @@ TEXTS = [
     ("((@))", "@", None, None), ("1 - 2 - (3 - 4) * 5 / 6", "((1 - 2) - (((3 - 4) * 5) / 6))", None, None),
     ("7 *", None, 3, "expected expression"), ("min(3; 4)", None, 5, "expected ',' between function arguments"), ("[p.Ab]", None, 3, "invalid reference field identifier"), ("abs(2)", None, 0, "unknown function 'abs'; expected min or max"),
     ("4 5 6", None, 2, "unexpected trailing content"), ("3e+", None, 3, "expected exponent digits"), ("9e999", None, 0, "numeric literal must be finite"), ("(2 + 3", None, 6, "expected ')' after expression"),
-    ("7" * 4200, None, 4096, "expression exceeds 4096-byte limit"), ("(" * 70 + "2", None, 64, "expression exceeds 64-nesting limit"), ("*".join(["2"] * 140), None, 256, "expression exceeds 256-node limit"), ("-".join(["3"] * 70), None, 129, "expression exceeds 64-depth limit"),
+    ("7" * 4200, None, 4096, "expression exceeds 4096-byte limit"), ("(" * 70 + "2", None, 64, "expression exceeds 64-nesting limit"), ("*".join(["2"] * 140), None, 256, "expression exceeds 256-node limit"), ("-".join(["3"] * 70), None, 139, "expression exceeds 64-depth limit"),
 ]
 
 
