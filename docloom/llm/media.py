@@ -90,19 +90,35 @@ def feature_of(payload: bytes) -> str:
 
 
 class _Reader(HTMLParser):
-    MEDIA, HIDDEN = {"img", "video", "audio", "source", "embed"}, {"script", "style", "template", "noscript", "head", "title"}
+    MEDIA, HIDDEN = {"img", "video", "audio", "source", "embed"}, {"script", "style", "template", "noscript", "title"}
     BREAKS = set("p div article section figure figcaption h1 h2 h3 h4 h5 h6 li ul ol table tr td th blockquote pre br header footer main".split())
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        # open figures: where their items begin, and their caption; the parts of the caption that is being read
         self.items, self.words, self.hidden, self.figures, self.caption = [], [], 0, [], None
 
     def flush(self):
         text = " ".join("".join(self.words).split())
         self.words.clear()
-        if text and self.caption is None:
+        if text and self.caption is not None:
+            self.caption.append(text)
+        elif text:
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
-        return text
+
+    def end_caption(self):
+        self.flush()
+        if self.caption is not None:
+            text, self.caption = " ".join(self.caption), None
+            if text and self.figures:
+                self.figures[-1][1] = text
+
+    def end_figure(self):
+        self.end_caption()
+        begin, text = self.figures.pop()
+        for x in self.items[begin:] if text else ():
+            if x["kind"] == "media":
+                x["caption"] = text
 
     def handle_starttag(self, tag, attrs):
         if tag in self.HIDDEN:
@@ -110,9 +126,10 @@ class _Reader(HTMLParser):
         if tag in self.BREAKS:
             self.flush()
         if tag == "figure":
-            self.figures.append(len(self.items))
+            self.figures.append([len(self.items), None])
         elif tag == "figcaption":
-            self.caption = ""
+            self.end_caption()
+            self.caption = []
         elif tag in self.MEDIA:
             a = dict(attrs)
             if a.get("src"):
@@ -127,16 +144,19 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in self.HIDDEN and self.hidden:
             self.hidden -= 1
-        if tag == "figcaption" and self.caption is not None:
-            text = self.flush()
-            self.caption = None
-            for x in self.items[self.figures[-1] if self.figures else len(self.items) :]:
-                if x["kind"] == "media":
-                    x["caption"] = text
+        if tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_figure()
         elif tag in self.BREAKS:
             self.flush()
-        if tag == "figure" and self.figures:
-            self.figures.pop()
+
+    def finish(self):
+        """Close what the page left open."""
+        self.close()
+        self.end_caption()
+        while self.figures:
+            self.end_figure()
 
     def handle_data(self, data):
         if not self.hidden:
@@ -147,8 +167,7 @@ def read_items(html: str | None) -> list[dict]:
     """The texts and media references of a page, in order; a figure's caption goes to its media."""
     r = _Reader()
     r.feed(html or "")
-    r.close()
-    r.flush()
+    r.finish()
     return [{"position": i, **x} for i, x in enumerate(r.items)]
 
 
@@ -157,6 +176,8 @@ def with_items(df: DataFrame, html: str = "html", out: str = "items") -> DataFra
     prepare(df.sparkSession)
     at = df.columns.index(html)
     rest = [f for i, f in enumerate(df.schema.fields) if i != at]
+    if out in {f.name for f in rest}:
+        raise ValueError(f"{out} is already a column")
     schema = T.StructType([*rest, T.StructField(out, T.ArrayType(T.StructType.fromDDL("position int, kind string, text string, ref string, caption string")))])
 
     def run(batches):
@@ -178,15 +199,17 @@ def references(df: DataFrame, items: str = "items") -> DataFrame:
 
 
 def resolve(df: DataFrame, facts: DataFrame, items: str = "items") -> DataFrame:
-    """df, with each item's struct extended by `fact`, the row of facts (one per digest) of its medium: null for texts."""
+    """df, with each item's struct extended by `fact`, the row of facts (one per digest) of its medium: null for texts.
+    Only media are joined; equal rows are resolved once."""
     rest = [c for c in df.columns if c != items]
     row, item, digest = (free_name(df.columns, n) for n in ("_row", "_item", "_ref_digest"))
-    marked = df.withColumn(row, F.uuid() if not rest else F.sha2(F.to_json(F.struct(*df.columns)), 256))
-    known = marked.dropDuplicates([row])
-    single = known.select(row, F.explode(items).alias(item)).withColumn(digest, F.when(F.col(f"{item}.ref").startswith(SCHEME), F.substring(F.col(f"{item}.ref"), len(SCHEME) + 1, 64)))
+    marked = df.withColumn(row, F.sha2(F.to_json(F.struct(*df.columns)), 256))
+    single = marked.dropDuplicates([row]).select(row, F.explode(items).alias(item)).withColumn(digest, F.when(F.col(f"{item}.ref").startswith(SCHEME), F.substring(F.col(f"{item}.ref"), len(SCHEME) + 1, 64)))
     fact = facts.select(F.col("digest").alias(digest), F.struct(*facts.columns).alias("fact"))
-    joined = single.join(fact, digest, "left").select(row, F.struct(f"{item}.*", "fact").alias(item))
-    back = joined.groupBy(row).agg(F.array_sort(F.collect_list(item)).alias(items))
+    media, other = single.where(F.col(digest).isNotNull()), single.where(F.col(digest).isNull())
+    extended = lambda t, x: t.select(row, F.struct(f"{item}.*", x.alias("fact")).alias(item))
+    joined = extended(media.join(fact, digest, "left"), F.col("fact")).unionAll(extended(other, F.lit(None).cast(fact.schema["fact"].dataType)))
+    back = joined.groupBy(row).agg(F.sort_array(F.collect_list(item)).alias(items))
     return marked.drop(items).join(back, row, "left").withColumn(items, F.coalesce(items, F.array())).select(*rest, items)
 
 

@@ -43,6 +43,23 @@ def test_items_keep_order_and_captions():
     assert read_items(None) == read_items("") == []
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<figure><img src=a><figcaption>one<br>two</figcaption></figure>", [("a", "one two")]),
+    ("<figure><figcaption>before</figcaption><img src=a><img src=b></figure><img src=c>", [("a", "before"), ("b", "before"), ("c", None)]),
+    ("<head><title>t</title><meta charset=utf-8><body><p>text<img src=a alt=x>", [("text", None), ("a", "x")]),
+    ("<figure><img src=a><figcaption><p>cut <b>of", [("a", "cut of")]), ("<figure><img src=a alt=x><figcaption></figcaption></figure></figure></p>end", [("a", "x"), ("end", None)]),
+    ("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>", [("a", "out"), ("b", "out")]),
+    ("<p>1<video src=v></video>2<script>x<img src=no></script>", [("1", None), ("v", None), ("2", None)]),
+])
+def test_captions_of_odd_pages(page, want):
+    assert [(x["text"] or x["ref"], x["caption"]) for x in read_items(page)] == want
+
+
+def test_clashing_columns_are_refused(spark):
+    with pytest.raises(ValueError, match="already a column"):
+        with_items(spark.createDataFrame([("", 1)], "html string, items int"))
+
+
 def test_resolving_keeps_positions(spark):
     d = "a" * 64
     pages = spark.createDataFrame([(1, f'<p>t<img src="sha256:{d}" alt="c">u'), (2, None), (3, '<img src="sha256:' + "b" * 64 + '">'), (1, f'<p>t<img src="sha256:{d}" alt="c">u')], "k int, html string")
