@@ -3,9 +3,10 @@
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; a
 class is a connected component of links, and copies of one text are one node of that graph.
 
-1. Every text gets a DartMinHash signature of BANDS * ROWS coordinates (weights of 1 by default; any
-   column of weights would do), and a bucket for each band. At a similarity of 0.8 a pair shares no
-   bucket with a probability of 2e-5.
+1. Every text gets a DartMinHash signature of BANDS * ROWS coordinates, and a bucket for each band. At a
+   similarity of 0.8 a pair shares no bucket with a probability of 2e-5. By default a text is a set, and its
+   shingles weigh 1; as a multiset (multiset=True) a shingle weighs as often as it occurs, and the similarity is the
+   weighted one, the sum of the smaller weights over that of the larger.
 2. Every bucket elects a leader, the member with the least hash, and its members are verified against
    it by their exact sets. Members that differ elect another leader, for ROUNDS
    rounds. So a bucket of m members makes m pairs a round, not m * m.
@@ -20,6 +21,9 @@ class is a connected component of links, and copies of one text are one node of
 
 Nothing is collected but counts and checksums. Every loop writes its tables to the shared folder.
 
+Sets are of 64-bit hashes; a multiset is verified as the set of (shingle, number of its occurrence), whose similarity
+is the weighted one.
+
 Defined results: a null text is an empty one. Texts of fewer than five words have one shingle, of all
 their words; texts without words are linked only to equal texts. Rows that repeat share a class.
 """
@@ -49,6 +53,24 @@ def shingle_set(word_hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     return np.unique(shingles(word_hashes, min(width, len(word_hashes))))
 
 
+def shingle_bag(word_hashes: np.ndarray, multiset: bool, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a text and their weights: 1, or how often they occur."""
+    if not len(word_hashes):
+        return np.zeros(0, np.uint64), np.zeros(0)
+    elements, counts = np.unique(shingles(word_hashes, min(width, len(word_hashes))), return_counts=True)
+    return elements, counts.astype(np.float64) if multiset else np.ones(len(elements))
+
+
+def occurrences(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The sorted set of (element, number of its occurrence), hashed; the elements themselves, where all weigh 1."""
+    times = weights.astype(np.int64)
+    if not len(times) or times.max() == 1:
+        return elements
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    each = np.repeat(elements, times)
+    return np.unique(np.where(nth == 0, each, mix(each + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+
+
 def bucket_names(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A number per band and signature, that names both the band and its coordinates."""
     out = np.zeros((len(signature), bands), np.uint64)
@@ -65,8 +87,8 @@ def _texts(batch, at, seen):
         seen.add(d)
 
 
-def signed(docs: DataFrame, key: str, text: str, bands: int, rows: int, seed: int) -> DataFrame:
-    """key, node (a 128-bit digest of the text), n (its shingles), buckets: the last two null for texts without words and where the task met the text before."""
+def signed(docs: DataFrame, key: str, text: str, bands: int, rows: int, seed: int, multiset: bool = False) -> DataFrame:
+    """key, node (a 128-bit digest of the text), n (the weight of its shingles), buckets: the last two null for texts without words and where the task met the text before."""
 
     def run(batches):
         seen: set[bytes] = set()
@@ -79,23 +101,24 @@ def signed(docs: DataFrame, key: str, text: str, bands: int, rows: int, seed: in
                     texts.append(t)
             buckets: list = [None] * len(nodes)
             sizes: list = [None] * len(nodes)
-            held: list[tuple[int, np.ndarray]] = []
+            held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
             def sign():
                 if held:
-                    bounds = np.concatenate([[0], np.cumsum([len(s) for _, s in held])])
-                    names = bucket_names(signatures(np.concatenate([s for _, s in held]), None, bounds, bands * rows, seed), bands, rows).view(np.int64)
-                    for (i, _), n in zip(held, names, strict=True):
+                    bounds = np.concatenate([[0], np.cumsum([len(s) for _, s, _ in held])])
+                    weights = np.concatenate([w for *_, w in held]) if multiset else None  # none: all weigh 1
+                    names = bucket_names(signatures(np.concatenate([s for _, s, _ in held]), weights, bounds, bands * rows, seed), bands, rows).view(np.int64)
+                    for (i, *_), n in zip(held, names, strict=True):
                         buckets[i] = n
                     held.clear()
 
             size = 0
             for first, last, h, bounds, _ in hashed_texts(texts):
                 for j in range(last - first):
-                    s = shingle_set(h[bounds[j] : bounds[j + 1]])
+                    s, w = shingle_bag(h[bounds[j] : bounds[j + 1]], multiset)
                     if len(s):
-                        held.append((fresh[first + j], s))
-                        sizes[fresh[first + j]] = len(s)
+                        held.append((fresh[first + j], s, w))
+                        sizes[fresh[first + j]] = int(w.sum())
                         size += max(len(s), 400)
                     if size > MOST_ELEMENTS:
                         sign()
@@ -107,8 +130,8 @@ def signed(docs: DataFrame, key: str, text: str, bands: int, rows: int, seed: in
     return slim.mapInArrow(run, f"key {dict(slim.dtypes)['key']}, node binary, n int, buckets array<long>")
 
 
-def sets_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
-    """node, n, tokens (sorted 32-bit shingle hashes, as bytes) of the texts in nodes (one column, node)."""
+def sets_of(docs: DataFrame, text: str, nodes: DataFrame, multiset: bool = False) -> DataFrame:
+    """node, n, tokens (sorted 64-bit hashes of its shingles, or of their occurrences, as bytes) of the texts in nodes (one column, node)."""
 
     def run(batches):
         seen: set[bytes] = set()
@@ -121,8 +144,8 @@ def sets_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
             out_ids, n, data = [], [], []
             for first, last, h, bounds, _ in hashed_texts(texts):
                 for j in range(last - first):
-                    s = np.unique((shingle_set(h[bounds[j] : bounds[j + 1]]) >> np.uint64(32)).astype(np.uint32))
-                    out_ids.append(ids[first + j]), n.append(len(s)), data.append(s.astype("<u4").tobytes())
+                    s = occurrences(*shingle_bag(h[bounds[j] : bounds[j + 1]], multiset))
+                    out_ids.append(ids[first + j]), n.append(len(s)), data.append(s.astype("<u8").tobytes())
             if out_ids:
                 yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.binary()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], names=["node", "n", "tokens"])
 
@@ -142,8 +165,8 @@ def elected(members: DataFrame) -> DataFrame:
 
 
 def led_pairs(led: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of leaders and members whose sizes allow the similarity (sets of 32-bit hashes may be a little smaller)."""
-    return led.where(F.least("n", "leader_n") + 2 >= similarity * F.greatest("n", "leader_n")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    """Distinct pairs (a, b) of leaders and members whose sizes allow the similarity."""
+    return led.where(F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n") - 1e-9).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -156,7 +179,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 k = np.searchsorted(q, p)
                 common = int((q[np.minimum(k, len(q) - 1)] == p).sum()) if len(q) else 0
                 if common >= similarity * (len(p) + len(q) - common) - 1e-9:
@@ -201,7 +224,7 @@ def open_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, similari
 
     def explode(batches):
         for batch in batches:
-            lists = [np.frombuffer(t, "<u4").astype(np.int64) for t in batch.column(2).to_pylist()]
+            lists = [np.frombuffer(t, "<i8") for t in batch.column(2).to_pylist()]
             sizes = np.array([len(x) for x in lists], np.int64)
             for a in range(0, len(lists), 200):
                 of = pa.array(np.repeat(np.arange(a, min(len(lists), a + 200)), sizes[a : a + 200]))
@@ -227,15 +250,18 @@ def open_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, similari
     return pairs.select(F.col("node").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """key, node (the text's digest) and class (a node that names the class) of every row of docs."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, seed: int = SEED, multiset: bool = False) -> DataFrame:
+    """key, node (the text's digest) and class (a node that names the class) of every row of docs. Words and bands are as
+    the module says; rounds is at least 1."""
+    if rounds < 1:
+        raise ValueError("members are compared with leaders for one round at least")
     prepare(docs.sparkSession)
-    table = materialise(signed(docs, key, text, bands, rows, seed))
+    table = materialise(signed(docs, key, text, bands, rows, seed, multiset))
     all_members = table.where("buckets is not null").select("node", "n", F.explode("buckets").alias("bucket"))
     led = materialise(materialise(elected(all_members)).distinct())  # apart, so that a large bucket is split before it is deduplicated
     leaders = led.select("bucket", F.col("leader").alias("node")).distinct()
     members = led.select("bucket", "node").unionAll(leaders)
-    sets = materialise(sets_of(docs, text, members.select("node").distinct()))
+    sets = materialise(sets_of(docs, text, members.select("node").distinct(), multiset))
     links = None
     for i in range(rounds):
         found = materialise(verified(led_pairs(led, similarity), sets, similarity))

@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from conftest import prose
 
-from docloom.llm.common import hashed_texts
+from docloom.llm.common import hashed_texts, shingles
 from docloom.llm.dart import signatures
-from docloom.llm.minhash import components, documents_classes, keep_one, shingle_set
+from docloom.llm.minhash import components, documents_classes, keep_one, near_duplicates, shingle_set
 
 
 def sets_of(texts):
@@ -80,6 +80,33 @@ def test_classes_against_brute_force(spark):
     assert sorted((str(r["doc_id"]), r["class_id"]) for r in got) == brute(rows)
 
 
+def test_multisets_against_brute_force(spark):
+    """The weighted similarity: a text that repeats a passage is not like one that does not."""
+    from collections import Counter
+
+    r = random.Random(14)
+    rows = near_rows(r)[:60]
+    passage = prose(r, 20)
+    rows += [(100 + i, " ".join([passage] * n)) for i, n in enumerate((1, 2, 9, 10, 11, 40))]
+    bags = []
+    for first, last, h, bounds, _ in hashed_texts([t for _, t in rows]):
+        bags += [Counter(shingles(h[bounds[i] : bounds[i + 1]], min(5, bounds[i + 1] - bounds[i])).tolist()) for i in range(last - first)]
+    up = list(range(len(rows)))
+
+    def top(x):
+        return x if up[x] == x else top(up[x])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total() - 1e-9:
+                up[top(i)] = top(j)
+    got = {x["key"]: x["class"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), multiset=True).collect()}
+    groups = lambda pairs: sorted(sorted(k for k, c in pairs if c == x) for x in {c for _, c in pairs})
+    assert groups(list(got.items())) == groups([(k, top(i)) for i, (k, _) in enumerate(rows)])
+    with pytest.raises(ValueError, match="one round"):
+        near_duplicates(spark.createDataFrame(rows[:1], "doc_id long, text string"), rounds=0)
+
+
 def test_odd_rows(odd, odd_rows):
     rows = [(k, t) for k, t, *_ in odd_rows]
     assert sorted(((str(r["doc_id"]), r["class_id"]) for r in documents_classes(odd).collect()), key=str) == sorted(brute(rows), key=str)
