@@ -2,16 +2,18 @@
 
 Every n-gram (one to three letters, word ends as spaces) of a text goes to one of BUCKETS counters. A
 language's model is the smoothed log-probability of each counter; the matrix of all languages is
-broadcast (languages x BUCKETS floats, whatever the number of documents) and texts are scored in
-batches by numpy: gather a language's row at the n-grams' counters, and sum by text.
+broadcast (languages x BUCKETS floats, whatever the number of documents: 33 MB at MOST_LANGUAGES) and texts are
+scored in batches by numpy: gather a language's row at the n-grams' counters, and sum by text.
 
 Defined results: a null or empty text, or one without letters, is `und` with score 0; so is every text
-when no labelled rows exist. Ties go to the language whose name sorts first. Repeated rows are
+when no labelled rows exist. Where labels name more than MOST_LANGUAGES languages, those with most rows are
+learned, and a warning says so. Ties go to the language whose name sorts first. Repeated rows are
 answered each. Texts are read whole, in pieces that overlap by what an n-gram needs.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, code_points, crc_mod, free_name, hash_below, letter_table, prepare, through
+from .common import CHUNK, code_points, crc_mod, free_name, letter_table, prepare, through
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
+MOST_LANGUAGES = 256
 UND = "und"
 
 
@@ -109,18 +112,20 @@ class LanguageModel:
         return [self.languages[j] if g else UND for j, g in zip(best, grams, strict=True)], np.where(grams > 0, score, 0.0)
 
 
-def fit(labelled: DataFrame, text: str, lang: str, key: str, rows_per_language: int = 2000, smoothing: float = 0.5, seed: int = 6) -> LanguageModel:
-    """A model from labelled rows. Of each language about rows_per_language rows are used, chosen by a
-    hash of the key; their n-grams are counted on the executors, and only counters reach the driver."""
+def fit(labelled: DataFrame, text: str, lang: str, key: str, rows_per_language: int = 2000, smoothing: float = 0.5, seed: int = 6, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
+    """A model from labelled rows, of most_languages languages at most. Of each about rows_per_language rows are used,
+    chosen by a hash of the key; their n-grams are counted on the executors, and only counters reach the driver."""
     prepare(labelled.sparkSession)
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("l").count().collect()}  # one row a language
+    found = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages + 1).collect()
+    if len(found) > most_languages:
+        warnings.warn(f"labels name more than {most_languages} languages; those with the fewest rows are not learned", stacklevel=2)
+    sizes = {r[0]: r[1] for r in found[:most_languages]}
     if not sizes:
         return LanguageModel([], np.zeros((0, BUCKETS + 1), np.float32), np.zeros(0))
     languages = sorted(sizes)
-    chosen = F.lit(False)
-    for name in languages:
-        chosen = chosen | ((F.col("l") == name) & hash_below(F.col("k"), rows_per_language / sizes[name], seed))
+    limits = F.create_map(*(F.lit(x) for name in languages for x in (name, int(min(1, rows_per_language / sizes[name]) * (1 << 30)))))
+    chosen = F.pmod(F.xxhash64(F.lit(seed), "k"), F.lit(1 << 30)) < F.try_element_at(limits, F.col("l"))  # null: not learned
     number = {name: i for i, name in enumerate(languages)}
 
     def count(batches):

@@ -1,6 +1,8 @@
 """Languages, toxicity and decontamination."""
 
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -48,6 +50,51 @@ def test_languages_of_odd_rows(odd, odd_rows, none):
     assert {r["lang_pred"] for r in langid.documents_languages(unlabelled).collect()} == {"und"}
 
 
+def naive_counters(text):
+    """The counters of a text's n-grams that begin with a letter and hold no two spaces, in whole numbers."""
+    whole = "".join(c.lower() if c.isalpha() else " " for c in f" {text or ''} ")
+    for n in (1, 2, 3):
+        for i in range(len(whole) - n + 1):
+            gram = whole[i : i + n]
+            if gram[0] == " " or "  " in gram:
+                continue
+            g = 0
+            for c in gram:
+                g = (g * 0x01000193 + ord(c)) % 2**32
+            h = (g + n) * 0x9E3779B1 % 2**32
+            yield ((h ^ h >> 15) * 0x85EBCA77 % 2**32) >> 17
+
+
+def test_languages_against_plain_bayes(spark):
+    r = random.Random(12)
+    tongue = lambda lang, n: prose(r, n, TONGUES[lang])
+    rows = [(i, f"{tongue(x, 9)}, {i}! {tongue(y, r.randint(0, 3))}".title(), x if i % 7 else None) for i in range(120) for x, y in [r.choices(sorted(TONGUES), k=2)]]
+    rows += [(900, None, "aa"), (901, "", "bb"), (902, "12, 7.", None), (903, "ka", None), (903, "ka", None), (None, "sel", None), (904, "q", None)]
+    learned = [(t, x) for k, t, x in rows if x and t is not None and zlib.crc32(str(k).encode()) % 4 != 2]
+    counts = {x: [0.5] * langid.BUCKETS for x in sorted(TONGUES)}
+    for t, x in learned:
+        for b in naive_counters(t):
+            counts[x][b] += 1
+    want = []
+    for k, t, _ in rows:
+        grams = list(naive_counters(t))
+        logs = {x: math.log(sum(y == x for _, y in learned) / len(learned)) + sum(math.log(c[b] / sum(c)) for b in set(grams) for _ in range(grams.count(b))) for x, c in counts.items()}
+        best = max(logs, key=lambda x: (logs[x], -ord(x[0])))
+        want.append((str(k), best if grams else "und", 1 / sum(math.exp(v - logs[best]) for v in logs.values()) if grams else 0.0))
+    got = sorted((str(x["doc_id"]), x["lang_pred"], x["score"]) for x in langid.documents_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], atol=1e-4)
+
+
+def test_a_dirty_column_of_languages(spark):
+    r = random.Random(4)
+    rows = [(i, prose(r, 20, TONGUES[x]), x) for i in range(60) for x in sorted(TONGUES)[:2]] + [(1000 + i, prose(r, 5), f"junk{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="more than 2 languages"):
+        model = langid.fit(df, "text", "lang", "doc_id", most_languages=2)
+    assert model.languages == ["aa", "bb"] and model.log_probs.shape == (2, langid.BUCKETS + 1)
+
+
 def test_long_texts_are_scored_in_overlapping_pieces(monkeypatch):
     text = prose(random.Random(1), 3000)
     whole = [g for _, _, n, p in langid.segments([text]) for g in langid.gram_buckets(p, n)]
