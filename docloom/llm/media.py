@@ -200,25 +200,28 @@ def references(df: DataFrame, items: str = "items") -> DataFrame:
 
 def resolve(df: DataFrame, facts: DataFrame, items: str = "items") -> DataFrame:
     """df, with each item's struct extended by `fact`, the row of facts (one per digest) of its medium: null for texts.
-    Only media are joined; equal rows are resolved once."""
+    Joins by digest carry references only; facts come back by row and place, and texts move once."""
     rest = [c for c in df.columns if c != items]
-    row, item, digest = (free_name(df.columns, n) for n in ("_row", "_item", "_ref_digest"))
-    marked = df.withColumn(row, F.sha2(F.to_json(F.struct(*df.columns)), 256))
-    single = marked.dropDuplicates([row]).select(row, F.explode(items).alias(item)).withColumn(digest, F.when(F.col(f"{item}.ref").startswith(SCHEME), F.substring(F.col(f"{item}.ref"), len(SCHEME) + 1, 64)))
-    fact = facts.select(F.col("digest").alias(digest), F.struct(*facts.columns).alias("fact"))
-    media, other = single.where(F.col(digest).isNotNull()), single.where(F.col(digest).isNull())
-    extended = lambda t, x: t.select(row, F.struct(f"{item}.*", x.alias("fact")).alias(item))
-    joined = extended(media.join(fact, digest, "left"), F.col("fact")).unionAll(extended(other, F.lit(None).cast(fact.schema["fact"].dataType)))
-    back = joined.groupBy(row).agg(F.sort_array(F.collect_list(item)).alias(items))
-    return marked.drop(items).join(back, row, "left").withColumn(items, F.coalesce(items, F.array())).select(*rest, items)
+    row, ref, of = (free_name([*df.columns, *facts.columns], n) for n in ("_row", "_ref", "_facts"))
+    settled = materialise(df.withColumn(row, F.monotonically_increasing_id()))  # numbers of a settled table stay
+
+    def digest(x):
+        return F.when((x.kind == "media") & x.ref.startswith(SCHEME), F.substring(x.ref, len(SCHEME) + 1, 64))
+
+    places = F.transform(items, lambda x, i: F.struct(i.alias("place"), digest(x).alias("digest")))
+    refs = settled.select(row, F.explode(F.filter(places, lambda x: x.digest.isNotNull())).alias(ref)).select(row, f"{ref}.*")
+    known = facts.select("digest", F.struct(*facts.columns).alias("fact"))
+    told = refs.join(known, "digest").groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("place", "fact"))).alias(of))
+    extended = F.transform(items, lambda x, i: x.withField("fact", F.try_element_at(of, i)))
+    return settled.join(told, row, "left").select(*rest, F.coalesce(extended, F.array()).alias(items))
 
 
 # --- the store --------------------------------------------------------------------------------
 
 
-def page_of(digest: str, name: str) -> str:
-    """The page that shows one medium of the store."""
-    return f'<article><figure><img src="{SCHEME}{digest}"><figcaption>{name}</figcaption></figure></article>'
+def page_of(digest: str, size: int) -> str:
+    """The page that names one medium of the store, and shows it."""
+    return f'<article><p>A text</p><figure><img src="{SCHEME}{digest}"><figcaption>{size} bytes</figcaption></figure></article>'
 
 
 def store_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
@@ -237,14 +240,14 @@ def store_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
                 d = hashlib.sha256(payload)
                 media = None if d.digest() in met else encode_png(payload)
                 met.add(d.digest())
-                rows.append((i, len(raw), page_of(d.hexdigest(), f"{len(raw)} bytes"), d.hexdigest(), media))
+                rows.append((i, len(raw), page_of(d.hexdigest(), len(raw)), d.hexdigest(), media))
                 size += len(media or b"")
                 if size > 8 << 20 or i + 1 == len(keys):
                     of, n, page, digest, data = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(n, pa.int64()), pa.array(page), pa.array(digest), pa.array(data, pa.binary())], names=["key", "n_bytes", "page", "digest", "media"])
                     rows, size = [], 0
 
-    slim.mapInArrow(run, f"key {dict(slim.dtypes)['key']}, n_bytes long, page string, digest string, media binary").write.parquet(path)
+    slim.mapInArrow(run, f"key {dict(slim.dtypes)['key']}, n_bytes long, page string, digest string, media binary").write.option("compression", "zstd").parquet(path)
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
@@ -274,8 +277,10 @@ def documents_media(docs: DataFrame) -> DataFrame:
     path = fresh_path(spark, "media")
     store_texts(docs, path)
     pages = spark.read.parquet(path).select(F.col("key").alias("doc_id"), "n_bytes", "page")
-    shown = references(with_items(pages, "page"))
-    facts = materialise(read_media(spark, path))  # apart, so that the join may split a digest that many documents share
-    return shown.join(facts, "digest", "left").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
-    )
+    # apart, so that the join may split a digest that many documents share; payload_sha256 is the digest, as reading verified
+    facts = materialise(read_media(spark, path).drop("payload_sha256"))
+    shown = resolve(with_items(pages, "page"), facts).withColumn("medium", F.filter("items", lambda x: x.kind == "media")[0])
+    return shown.select(
+        "doc_id", "n_bytes", "medium.fact.payload_bytes", F.col("medium.fact.digest").alias("payload_sha256"), "medium.fact.tail_crc32",
+        "medium.fact.media_bytes", "medium.fact.media_sha256", "medium.fact.feature", "medium.position", "medium.caption",
+    )

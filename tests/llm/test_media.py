@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -60,6 +61,24 @@ def test_clashing_columns_are_refused(spark):
         with_items(spark.createDataFrame([("", 1)], "html string, items int"))
 
 
+def test_resolving_against_a_plain_lookup(spark):
+    r = random.Random(8)
+    digests = [hashlib.sha256(bytes([i])).hexdigest() for i in range(6)]
+    pages = []
+    for k in range(40):
+        parts = [r.choice([f"<p>text {i}", f'<figure><img src="sha256:{digests[min(r.randrange(9), 5)]}"><figcaption>cap {k} {i}</figcaption></figure>', '<img src="http://x" alt="far">']) for i in range(r.randint(0, 12))]
+        pages += [(None if k % 9 == 0 else k, "".join(parts), None, k)] * r.choice([1, 1, 3])
+    known = {d: i for i, d in enumerate(digests[:5])}
+    df = with_items(spark.createDataFrame(pages, "k int, html string, _row string, _ref int").repartition(5))
+    assert df.columns == ["k", "_row", "_ref", "items"]
+    out = resolve(df, spark.createDataFrame([(d, i) for d, i in known.items()], "digest string, _facts int"))
+    assert out.columns == df.columns
+    plain = lambda k, n, items: (str(k), n, [(x["position"], x["kind"], x["text"], x["ref"], x["caption"], f) for x, f in items])
+    got = [plain(x["k"], x["_ref"], [(i, i["fact"] and i["fact"]["_facts"]) for i in x["items"]]) for x in out.collect()]
+    want = [plain(k, n, [(i, known.get((i["ref"] or "")[7:])) for i in read_items(h)]) for k, h, _, n in pages]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any(f is not None for *_, items in got for *_, f in items)
+
+
 def test_resolving_keeps_positions(spark):
     d = "a" * 64
     pages = spark.createDataFrame([(1, f'<p>t<img src="sha256:{d}" alt="c">u'), (2, None), (3, '<img src="sha256:' + "b" * 64 + '">'), (1, f'<p>t<img src="sha256:{d}" alt="c">u')], "k int, html string")
