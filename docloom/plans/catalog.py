@@ -378,17 +378,22 @@ def rate_changes(docs: DocumentSet):
 
 @query("set_scalar_diff", """
 SELECT 'nation-2' AS entity, 'rate' AS field, 'FieldChanged' AS kind, CAST(3 AS DOUBLE) AS before, 10.5::DOUBLE AS after
-UNION ALL SELECT 'customer-' || c_custkey, 'rated', 'FormulaImpact', c_acctbal * 3, c_acctbal * 10.5 FROM customer WHERE c_nationkey = 2 AND c_acctbal * 3 <> c_acctbal * 10.5""")
+UNION ALL SELECT 'customer-' || c_custkey, 'rated', 'FormulaImpact', c_acctbal * 3, c_acctbal * 10.5 FROM customer WHERE c_nationkey = 2 AND c_acctbal * 3 <> c_acctbal * 10.5
+UNION ALL SELECT entity, 'score', 'FormulaImpact', before, after FROM (SELECT 'order-' || o_orderkey AS entity, greatest(o_totalprice, c_acctbal * 3) - o_totalprice / 4 AS before,
+       greatest(o_totalprice, c_acctbal * 10.5::DOUBLE) - o_totalprice / 4 AS after FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 2) WHERE before <> after""")
 def set_scalar_diff(s, d):
-    return rate_changes(shop(s, d)).where("not entity like 'order-%'")
+    return rate_changes(shop(s, d))
 
 
 @query("export_projection", f"""
 WITH r AS ({_RATED})
 SELECT 'customer-' || c_custkey AS entity, unnest(['balance', 'name', 'nation', 'rated']) AS field, unnest([c_acctbal, NULL, NULL, rated]) AS number,
-       unnest([NULL, c_name, NULL, NULL]) AS text, unnest([NULL, NULL, 'nation-' || c_nationkey, NULL]) AS reference FROM customer JOIN r USING (c_custkey)""")
+       unnest([NULL, c_name, NULL, NULL]) AS text, unnest([NULL, NULL, 'nation-' || c_nationkey, NULL]) AS reference FROM customer JOIN r USING (c_custkey)
+UNION ALL SELECT 'nation-' || n_nationkey, unnest(['name', 'rate']), unnest([NULL, CAST(n_nationkey + 1 AS DOUBLE)]), unnest([n_name, NULL]), NULL FROM nation
+UNION ALL SELECT 'order-' || o_orderkey, unnest(['customer', 'score', 'status', 'total']), unnest([NULL, greatest(o_totalprice, rated) - o_totalprice / 4, NULL, o_totalprice]),
+       unnest([NULL, NULL, o_orderstatus, NULL]), unnest(['customer-' || o_custkey, NULL, NULL, NULL]) FROM orders JOIN r ON o_custkey = c_custkey""")
 def export_projection(s, d):
-    return export_rows(calculate(shop(s, d))).where("schema = 'customers'").select("entity", "field", "number", "text", "reference")
+    return export_rows(calculate(shop(s, d))).select("entity", "field", "number", "text", "reference")
 
 
 def described(docs: DocumentSet):
@@ -396,9 +401,10 @@ def described(docs: DocumentSet):
 
 
 @query("describe_entities", """
-SELECT 'nation-' || n_nationkey AS id, 'nations' AS schema, 'name,rate' AS fields FROM nation UNION ALL SELECT 'customer-' || c_custkey, 'customers', 'balance,name,nation,rated' FROM customer""")
+SELECT 'nation-' || n_nationkey AS id, 'nations' AS schema, 'name,rate' AS fields FROM nation UNION ALL SELECT 'customer-' || c_custkey, 'customers', 'balance,name,nation,rated' FROM customer
+UNION ALL SELECT 'order-' || o_orderkey, 'orders', 'customer,score,status,total' FROM orders""")
 def describe_entities(s, d):
-    return described(shop(s, d)).where("schema <> 'orders'")
+    return described(shop(s, d))
 
 
 def output_order(docs: DocumentSet):
@@ -410,9 +416,11 @@ def output_order(docs: DocumentSet):
 
 
 @query("calculate_order", """
-SELECT row_number() OVER (ORDER BY path) AS place, path FROM (SELECT 'customer-' || c_custkey || '.' || f AS path FROM customer, (VALUES ('balance'), ('rated')) AS t(f))""")
+SELECT row_number() OVER (ORDER BY path) AS place, path FROM (
+  SELECT 'customer-' || c_custkey || '.' || unnest(['balance', 'rated']) AS path FROM customer
+  UNION ALL SELECT 'nation-' || n_nationkey || '.rate' FROM nation UNION ALL SELECT 'order-' || o_orderkey || '.' || unnest(['score', 'total']) FROM orders)""")
 def calculate_order(s, d):
-    return output_order(shop(s, d)).where("path like 'customer-%'")  # the first places of the document
+    return output_order(shop(s, d))
 
 
 @query("formula_parse", """
