@@ -129,6 +129,44 @@ def test_raw_text_ends_where_its_element_does(piece, want):
     assert maintext.main_text(f"<article><p>one</p>{piece}<p>two</p></article>") == "\n\n".join(x for x in ("one", want, "two") if x)
 
 
+def generated(r: random.Random) -> tuple[str, list[str], bool]:
+    """A page, the blocks of its article, and whether it marks it. Short lines stand apart from unmarked articles, behind links."""
+    marked = r.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div itemprop=\"articleBody\">", "</div>"), None, None])
+    links = lambda: "<ul>" + "".join(f'<li><a href="/{i}">{prose(r, 2)}</a>' for i in range(r.randint(4, 9))) + "</ul>"
+    furniture = [
+        lambda: f"<aside><h3>{prose(r, 3)}</h3><p>{prose(r, 30)}</p></aside>", lambda: f'<div class="advert">{prose(r, 12)}</div>', lambda: f'<div class="newsletter-signup"><p>{prose(r, 20)}</p></div>',
+        lambda: f"<form><p>{prose(r, 9)}</p><input name=q><button>go</button></form>", lambda: "<script>if (a < b) { c('<p>no</p>') }</script>", lambda: f'<p hidden>{prose(r, 15)}</p>', lambda: f"<!-- <p>{prose(r, 5)}</p> -->",
+    ]
+    html, want = [], []
+
+    def block(tag, text):
+        words = [f"<b>{w}</b>" if r.random() < 0.1 else f'<a href="#">{w}</a>' if r.random() < 0.02 else w for w in text.split()]
+        html.append(f"<{tag}>{r.choice([' ', chr(10) + '  ']).join(words)} &amp; co.</{tag}>")
+        want.append(f"{text} & co.")
+
+    html.append(f"<header><p>{prose(r, 8)}</p></header><div>{prose(r, 2)}</div><nav>{links()}</nav>{links()}")
+    html.append(marked[0] if marked else "<div>")
+    block("h1", prose(r, 5))
+    block("p", prose(r, r.randint(40, 120)))
+    for _ in range(r.randint(2, 12)):
+        block(r.choice(["p", "p", "p", "blockquote", "h2", "pre"]), prose(r, r.choice([3, 10, 40, 90])))
+        if r.random() < 0.4:
+            html.append(r.choice(furniture)())
+    block("p", prose(r, 50))
+    html.append(marked[1] if marked else "</div>")
+    html.append(f'<section id="comments"><article class="comment"><p>{prose(r, 60)}</p></article></section>{links()}<div>{prose(r, 2)}</div><footer><p>{prose(r, 40)}</p></footer>')
+    return "".join(html), want, marked is not None
+
+
+def test_generated_pages_and_what_the_windows_decide(monkeypatch):
+    pages = [generated(random.Random(i)) for i in range(120)]
+    for page, want, _ in pages:
+        assert maintext.main_text(page) == "\n\n".join(want)
+    assert 30 < sum(m for *_, m in pages) < 90
+    monkeypatch.setattr(maintext, "stretches", lambda lengths, surge: [(0, len(lengths))])
+    assert all((maintext.main_text(page) == "\n\n".join(want)) == m for page, want, m in pages)
+
+
 def test_main_text_is_linear():
     page = "<article>" + "<p>x " * 20_000 + "<" * 20_000 + "</article>"
     assert maintext.main_text(page).startswith("x\n\nx")
