@@ -342,9 +342,11 @@ def overview_counts(s, d):
 
 
 @query("overview_fields", """
-SELECT 'customer-' || c_custkey AS entity, c_name AS label, unnest(['balance', 'name', 'nation', 'rated']) AS field, unnest(['input', 'input', 'reference', 'formula']) AS field_kind, unnest([NULL, NULL, 'nations', NULL]) AS target_schema FROM customer""")
+SELECT 'customer-' || c_custkey AS entity, c_name AS label, unnest(['balance', 'name', 'nation', 'rated']) AS field, unnest(['input', 'input', 'reference', 'formula']) AS field_kind, unnest([NULL, NULL, 'nations', NULL]) AS target_schema FROM customer
+UNION ALL SELECT 'nation-' || n_nationkey, n_name, unnest(['name', 'rate']), 'input', NULL FROM nation
+UNION ALL SELECT 'order-' || o_orderkey, 'Order-' || o_orderkey, unnest(['customer', 'score', 'status', 'total']), unnest(['reference', 'formula', 'input', 'input']), unnest(['customers', NULL, NULL, NULL]) FROM orders""")
 def overview_fields(s, d):
-    return field_kinds(shop(s, d)).where("schema = 'customers'").select("entity", "label", "field", "field_kind", "target_schema")
+    return field_kinds(shop(s, d)).select("entity", "label", "field", "field_kind", "target_schema")
 
 
 @query("rename_entity", """
