@@ -7,8 +7,9 @@ are spelled by numbers.json_text.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from ..operators.calc import Calculation
 from ..session import ship
 
 EXPORT_VERSION = 1
+#: Documents that are Python objects at once, in the distributed writers.
+FEW = 500
 
 
 def dumps(x, indent: int = 0) -> str:
@@ -102,15 +105,22 @@ def _document(r) -> dict:
     return out
 
 
-def canonical_texts(docs: DocumentSet) -> DataFrame:
-    """doc, text: every document's canonical text; one document is in one task."""
-    ship(docs.spark)
+def _texts(rows: DataFrame, text: Callable[[dict], str]) -> DataFrame:
+    """doc, text of every row; one document is in one task, and few at a time are Python objects."""
+    ship(rows.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, FEW):
+                some = batch.slice(at, FEW).to_pandas().to_dict("records")
+                yield pa.RecordBatch.from_arrays([pa.array([r["doc"] for r in some], pa.string()), pa.array([text(r) for r in some], pa.string())], names=["doc", "text"])
+
+    return rows.mapInArrow(run, "doc string, text string")
 
-    def run(frames):
-        for frame in frames:
-            yield pd.DataFrame({"doc": frame["doc"], "text": [encode(_document(r)) for r in frame.to_dict("records")]})
 
-    return _gathered(docs).mapInPandas(run, "doc string, text string")
+def canonical_texts(docs: DocumentSet) -> DataFrame:
+    """doc, text: every document's canonical text."""
+    return _texts(_gathered(docs), lambda r: encode(_document(r)))
 
 
 def export_rows(calculation: Calculation) -> DataFrame:
@@ -121,30 +131,20 @@ def export_rows(calculation: Calculation) -> DataFrame:
     return joined.select("doc", "entity", "schema", "field", F.when(F.col("kind") == "formula", F.col("value")).otherwise(F.col("num")).alias("number"), F.col("txt").alias("text"), F.col("flag").alias("boolean"), F.col("ref").alias("reference"))
 
 
+def _values(r: dict) -> dict[tuple[str, str], float]:
+    return {(v["entity"], v["field"]): v["value"] for v in ([] if r["values"] is None else r["values"])}
+
+
 def export_texts(calculation: Calculation) -> DataFrame:
     """doc, text: every document's evaluated export."""
-    ship(calculation.docs.spark)
     values = calculation.values.groupBy("doc").agg(F.collect_list(F.struct("entity", "field", "value")).alias("values"))
-
-    def run(frames):
-        for frame in frames:
-            texts = [encode_export(_document(r), {(v["entity"], v["field"]): v["value"] for v in ([] if r["values"] is None else r["values"])}) for r in frame.to_dict("records")]
-            yield pd.DataFrame({"doc": frame["doc"], "text": texts})
-
-    return _gathered(calculation.docs).join(values, "doc", "left").mapInPandas(run, "doc string, text string")
+    return _texts(_gathered(calculation.docs).join(values, "doc", "left"), lambda r: encode_export(_document(r), _values(r)))
 
 
 def values_texts(calculation: Calculation) -> DataFrame:
     """doc, text: the calculated values of every document."""
-    ship(calculation.docs.spark)
-    values = calculation.docs.documents.select("doc").join(calculation.values.groupBy("doc").agg(F.collect_list(F.struct("entity", "field", "value")).alias("values")), "doc", "left")
-
-    def run(frames):
-        for frame in frames:
-            texts = [encode_values({(v["entity"], v["field"]): v["value"] for v in ([] if x is None else x)}) for x in frame["values"]]
-            yield pd.DataFrame({"doc": frame["doc"], "text": texts})
-
-    return values.mapInPandas(run, "doc string, text string")
+    values = calculation.values.groupBy("doc").agg(F.collect_list(F.struct("entity", "field", "value")).alias("values"))
+    return _texts(calculation.docs.documents.select("doc").join(values, "doc", "left"), lambda r: encode_values(_values(r)))
 
 
 def save(path: str, text: str) -> None:
