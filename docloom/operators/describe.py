@@ -95,13 +95,19 @@ def explain_field(docs: DocumentSet, doc: str, entity: str, field: str) -> Expla
     )
 
 
+def entity_fields(docs: DocumentSet) -> DataFrame:
+    """doc, id, schema, fields: a row per entity, with the sorted names of its fields."""
+    own = docs.cells.groupBy("doc", F.col("entity").alias("entity_key")).agg(F.array_sort(F.collect_list("field")).alias("fields"))
+    return docs.entities.join(own, ["doc", "entity_key"], "left").select("doc", F.col("entity_key").alias("id"), "schema", F.coalesce("fields", F.array().cast("array<string>")).alias("fields"))
+
+
 def describe_documents(docs: DocumentSet) -> DataFrame:
-    """doc, id, title, schemas, entities: the structure without values, sorted."""
+    """doc, id, title, schemas, entities: the structure without values, sorted. A document is one row, and its entities one
+    array; entity_fields gives them as rows, for documents of any size."""
     field = F.struct("field", "type", "ref_schema", "required")
     fields = docs.schema_fields.groupBy("doc", "schema_key").agg(F.array_sort(F.collect_list(field)).alias("fields"))
     schemas = docs.schemas.join(fields, ["doc", "schema_key"], "left").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col("schema_key").alias("id"), F.coalesce("fields", F.array().cast("array<struct<field:string,type:string,ref_schema:string,required:boolean>>")).alias("fields")))).alias("schemas"))
-    own = docs.cells.groupBy("doc", F.col("entity").alias("entity_key")).agg(F.array_sort(F.collect_list("field")).alias("fields"))
-    entities = docs.entities.join(own, ["doc", "entity_key"], "left").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col("entity_key").alias("id"), "schema", F.coalesce("fields", F.array().cast("array<string>")).alias("fields")))).alias("entities"))
+    entities = entity_fields(docs).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("id", "schema", "fields"))).alias("entities"))
     return docs.documents.join(schemas, "doc", "left").join(entities, "doc", "left")
 
 

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.plans import catalog as C
 from docloom.plans import semantics  # noqa: F401, adds to the catalog
@@ -26,3 +27,14 @@ def test_estimates_broadcast_nothing(spark, name):
     plans = first_plans(spark, lambda: C.QUERIES[name](spark, DATA).write.format("noop").mode("overwrite").save())
     assert any("Join" in p for p in plans)
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_descriptions_of_entities_are_rows(spark):
+    from docloom.operators.describe import describe_documents, entity_fields
+
+    docs = C.shop(spark, DATA)
+    rows = {tuple(map(str, r)) for r in entity_fields(docs).drop("doc").collect()}
+    arrays = describe_documents(docs).select(F.explode("entities").alias("e")).select("e.*")
+    assert rows == {tuple(map(str, r)) for r in arrays.collect()}
+    plan = C.described(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(field" in plan and "collect_list(struct" not in plan.replace("named_struct", "struct")
