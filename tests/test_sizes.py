@@ -22,7 +22,7 @@ def first_plans(spark, run) -> list[str]:
     return [p.rpartition("== Initial Plan ==")[2].partition("\n\n")[0] for i, p in executions().items() if i not in before]
 
 
-@pytest.mark.parametrize("name", ["canonical_document_texts", "validate_schemas", "validate_all_counts", "validate_formula_types", "merge_conflicts", "overview_display", "diff_formula_impact", "validate_finite", "set_scalar_diff", "merge_entities", "merge_fields", "export_document_texts", "merge_documents"])
+@pytest.mark.parametrize("name", ["canonical_document_texts", "validate_schemas", "validate_all_counts", "validate_formula_types", "merge_conflicts", "overview_display", "diff_formula_impact", "validate_finite", "set_scalar_diff", "merge_entities", "merge_fields", "export_document_texts", "merge_documents", "merge_failures"])
 def test_estimates_broadcast_nothing(spark, name):
     plans = first_plans(spark, lambda: C.QUERIES[name](spark, DATA).write.format("noop").mode("overwrite").save())
     assert any("Join" in p for p in plans)
